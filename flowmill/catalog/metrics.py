@@ -145,9 +145,9 @@ def _poisson_sql(u):
 each AS (SELECT g.*, r.round FROM groups g CROSS JOIN (SELECT unnest(range(0, 100)) AS round) r),
 small AS (SELECT y, p, score, round, key, sum(w) AS weight FROM (SELECT e.*, """ + _poisson_sql("u") + """ AS w FROM
     (SELECT e.*, """ + uniform_sql("'boot|42|' || round || '|' || key || '|' || j") + """ AS u
-     FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM each WHERE n <= 32) e) e) GROUP BY 1, 2, 3, 4, 5),
+     FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM each WHERE n <= 16) e) e) GROUP BY 1, 2, 3, 4, 5),
 large AS (SELECT y, p, score, round, key, greatest(0.0, floor(n + sqrt(n) * """
-       + normal_sql("'boot|42|' || round || '|' || key") + """ + 0.5)) AS weight FROM each WHERE n > 32),
+       + normal_sql("'boot|42|' || round || '|' || key") + """ + 0.5)) AS weight FROM each WHERE n > 16),
 drawn AS (SELECT y, p, score, round, CAST(weight AS BIGINT) AS weight FROM small
   UNION ALL SELECT y, p, score, round, CAST(weight AS BIGINT) FROM large),
 cells AS (SELECT round, coalesce(sum(weight) FILTER (y = 0 AND p = 1), 0) AS fp,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowmill.functions.hashing import normal, uniform
 from flowmill.functions.labels import decide, is_concern, probability_band, rate_band, risk_level, verdict
@@ -162,7 +162,7 @@ def best_threshold(df: DataFrame, label: str = "label", score: str = "score") ->
 
 # ------------------------------------------------------------ bootstrap
 
-_EXACT_COPIES = 32
+_EXACT_COPIES = 16
 
 
 def _poisson_one(u: Column) -> Column:
@@ -180,7 +180,7 @@ def bootstrap_weights(counts: DataFrame, rounds: int, seed: int, keys: list[str]
 
     A resample with replacement of n rows gives a group of c equal rows a
     Poisson(c) weight.  Groups are collapsed first, so the work grows with distinct
-    groups, not rows: up to 32 copies draw one Poisson(1) each, larger groups use
+    groups, not rows: up to 16 copies draw one Poisson(1) each, larger groups use
     the normal approximation.
     """
     each = counts.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
@@ -270,10 +270,11 @@ def extreme_example(scored: DataFrame, kind: str = "attack", score: str = "score
 
 def relative_performance(f1: DataFrame) -> DataFrame:
     """(protocol, f1) lines with percent of the real_only line; a zero baseline counts as 1."""
-    base = f1.agg(F.max(F.when(F.col("protocol") == "real_only", F.col("f1"))).alias("base"))
-    safe = F.when(F.col("base") != 0, F.col("base")).otherwise(1.0)
-    return f1.join(F.broadcast(base)).select(
-        "protocol", "f1", (F.col("f1") / safe * 100).alias("percent_of_real"))
+    # A handful of lines, one per protocol.
+    real = F.max(F.when(F.col("protocol") == "real_only", F.col("f1"))).over(Window.partitionBy(F.lit(1)))
+    return f1.withColumn("base", real).select(
+        "protocol", "f1",
+        (F.col("f1") / F.when(F.col("base") != 0, F.col("base")).otherwise(1.0) * 100).alias("percent_of_real"))
 
 
 def evaluation(scored: DataFrame, split: str, threshold: float, score: str = "score") -> DataFrame:

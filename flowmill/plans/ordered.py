@@ -112,53 +112,57 @@ def exact_quantiles(
 
 
 _SLICE_DIGITS = 3
+_MAX_DIGITS = 30
 MAX_RANKED_ROWS = 100_000
 
 
 def hash_cuts(df: DataFrame, key: str, digest: str, wanted: DataFrame) -> DataFrame:
-    """The digest at 0-based rank `k` of each key, as (key, cut).
+    """The digest at 0-based rank `k` of each key, as (key, cut, short).
 
-    `digest` is a lower-case hex string, unique within the key; `wanted` holds (key, k).
-    Rows with digest < cut are then exactly the k smallest.  Only slice counts are
-    shuffled: each round narrows a key to the 1/4096 of its digests holding rank k,
-    until that slice is small enough to rank.  k at or beyond the key's size gives 'g',
-    above every hex digit.
+    `digest` is a lower-case hex string; `wanted` holds (key, k).  Rows with digest < cut
+    are the k smallest, `short` of them missing when rows with the cut's own digest
+    (copies) straddle the rank; short is 0 where digests are unique.
+
+    Only slice counts are shuffled: each round narrows a key to the 1/4096 of its digests
+    holding rank k, until that slice is small enough to rank.  k at or beyond the key's
+    size gives 'g', above every hex digit.
     """
     targets = wanted.select(key, F.col("k").cast("long").alias("k"), F.lit("").alias("prefix"))
     depth = 0
     while True:
         depth += _SLICE_DIGITS
-        here = broadcast_checked(targets)
         counts = (
             df.select(key, F.substring(digest, 1, depth).alias("slice"))
             .withColumn("prefix", F.substring("slice", 1, depth - _SLICE_DIGITS))
-            .join(here, [key, "prefix"])
+            .join(broadcast_checked(targets), [key, "prefix"])
             .groupBy(key, "k", "slice")
             .agg(F.count("*").alias("n"))
         )
-        by_slice = Window.partitionBy(key).orderBy("slice")
-        found = (
-            counts.withColumn("seen", F.sum("n").over(by_slice))
-            .filter((F.col("seen") - F.col("n") <= F.col("k")) & (F.col("k") < F.col("seen")))
-            .select(key, (F.col("k") - F.col("seen") + F.col("n")).alias("k"),
-                    F.col("slice").alias("prefix"), "n")
-        )
-        found = cut_lineage(found)
+        found = cut_lineage(_rank_holder(counts, key, "slice").withColumnRenamed("slice", "prefix"))
         largest = found.agg(F.max("n")).first()[0]
         targets = found.drop("n")
-        if largest is None or largest <= MAX_RANKED_ROWS or depth >= 30:
+        if largest is None or largest <= MAX_RANKED_ROWS or depth >= _MAX_DIGITS:
             break
-    last = broadcast_checked(targets)
-    ranked = (
+    copies = (
         df.select(key, digest)
         .withColumn("prefix", F.substring(digest, 1, depth))
-        .join(last, [key, "prefix"])
-        .withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(digest)) - 1)
-        .filter(F.col("rank") == F.col("k"))
-        .select(key, F.col(digest).alias("cut"))
+        .join(broadcast_checked(targets), [key, "prefix"])
+        .groupBy(key, "k", digest)
+        .agg(F.count("*").alias("n"))
     )
-    return wanted.select(key).join(ranked, key, "left").select(
-        key, F.coalesce("cut", F.lit("g")).alias("cut")
+    cuts = _rank_holder(copies, key, digest).select(
+        key, F.col(digest).alias("cut"), F.col("k").alias("short"))
+    return wanted.select(key).join(cuts, key, "left").select(
+        key, F.coalesce("cut", F.lit("g")).alias("cut"), F.coalesce("short", F.lit(0)).alias("short"))
+
+
+def _rank_holder(counts: DataFrame, key: str, order: str) -> DataFrame:
+    """The line of each key, in `order`, that holds rank k; k becomes the rank inside it."""
+    seen = F.sum("n").over(Window.partitionBy(key).orderBy(order))
+    return (
+        counts.withColumn("_seen", seen)
+        .filter((F.col("_seen") - F.col("n") <= F.col("k")) & (F.col("k") < F.col("_seen")))
+        .select(key, (F.col("k") - F.col("_seen") + F.col("n")).alias("k"), order, "n")
     )
 
 
