@@ -60,7 +60,7 @@ def binned(df: DataFrame, edges: DataFrame, name: str, bins: int = 10, by: Seque
     """(by..., feature, bin, <name>): counts of binned values.  Works on a stream too."""
     columns = [r["feature"] for r in edges.select("feature").collect()]
     return (
-        unpivot_numeric(df, columns, by).join(F.broadcast(edges), "feature")
+        unpivot_numeric(df, columns, by).join(broadcast_checked(edges), "feature")
         .withColumn("bin", bin_of(F.col("value"), F.col("edges"), bins))
         .filter("bin is not null").groupBy(*by, "feature", "bin").agg(F.count("*").alias(name)))
 

@@ -7,14 +7,13 @@ table itself is never shuffled.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowmill.functions.hashing import row_digest
 from flowmill.plans.ordered import hash_cuts
-from flowmill.plans.small import broadcast_checked
+from flowmill.plans.small import broadcast_checked, settle
 from flowmill.session import cut_lineage
 
 
@@ -48,21 +47,21 @@ def stratum_key(counts: DataFrame, min_count: int) -> DataFrame:
         .otherwise(F.col("category")).alias("stratum"))
 
 
-def quotas(strata: DataFrame, total: int) -> DataFrame:
-    """(stratum, n, k): shares of `total` by size, largest remainders rounded up, names break ties."""
-    sizes = strata.groupBy("stratum").agg(F.sum("n").alias("n"))
-    all_rows = F.sum("n").over(Window.partitionBy(F.lit(1)))
+def quotas(strata: DataFrame, fraction: float) -> DataFrame:
+    """(stratum, n, k): floor(fraction * rows) shared by stratum size, largest remainders
+    rounded up, names break ties.  The windows run over one line per stratum."""
+    everything = Window.partitionBy(F.lit(1))
+    sizes = strata.groupBy("stratum").agg(F.sum("n").alias("n")).withColumn("_all", F.sum("n").over(everything))
     # Whole-number arithmetic: quotient and remainder of n * total / all.
-    product = f"cast(n as decimal(19,0)) * cast({total} as decimal(19,0))"
+    product = "cast(n as decimal(19,0)) * cast(_total as decimal(19,0))"
     divisor = "cast(_all as decimal(19,0))"
-    parts = sizes.withColumn("_all", all_rows).select(
-        "stratum", "n", F.expr(f"({product}) div {divisor}").alias("base"),
+    parts = sizes.withColumn("_total", F.floor(F.lit(float(fraction)) * F.col("_all"))).select(
+        "stratum", "n", "_total", F.expr(f"({product}) div {divisor}").alias("base"),
         F.expr(f"({product}) % {divisor}").alias("rest"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), "stratum")
-    spare = F.lit(total) - F.sum("base").over(Window.partitionBy(F.lit(1)))
+    order = everything.orderBy(F.desc("rest"), "stratum")
+    spare = F.col("_total") - F.sum("base").over(everything)
     return parts.select(
-        "stratum", "n",
-        (F.col("base") + (F.row_number().over(order) <= spare).cast("long")).alias("k"))
+        "stratum", "n", (F.col("base") + (F.row_number().over(order) <= spare).cast("long")).alias("k"))
 
 
 def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test: float = 0.15,
@@ -80,29 +79,28 @@ def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test
     # Three narrow columns carry all the counting; the wide table is read once, at the end.
     narrow = cut_lineage(keyed.select(F.col("_c").alias("category"), F.col("label").cast("int").alias("label"), "_h"))
 
-    def cuts(rows: DataFrame, min_count: int, fraction: float) -> tuple[DataFrame, DataFrame]:
-        counts = cut_lineage(rows.groupBy("category", "label").agg(F.count("*").alias("n")))
+    def cuts(rows: DataFrame, min_count: int, fraction: float) -> DataFrame:
+        """(category, label, cut) leaving floor(fraction * rows) rows below their cuts."""
+        counts = settle(rows.groupBy("category", "label").agg(F.count("*").alias("n")))
         strata = stratum_key(counts, min_count)
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        wanted = quotas(strata, math.floor(fraction * total))
-        names_ = broadcast_checked(strata.select("category", "label", "stratum"))
-        found = hash_cuts(rows.join(names_, ["category", "label"]), "stratum", "_h", cut_lineage(wanted))
-        by_class = broadcast_checked(
-            strata.select("category", "label", "stratum").join(found.drop("short"), "stratum")
-            .select("category", "label", "cut"))
-        return by_class, strata
-
-    first, _ = cuts(narrow, 10, train)
-    rest = narrow.join(first, ["category", "label"]).filter(F.col("_h") >= F.col("cut")).drop("cut")
-    second, _ = cuts(rest, 4, val / (val + test))
-    both = broadcast_checked(
-        first.withColumnRenamed("cut", "_cut1")
-        .join(second.withColumnRenamed("cut", "_cut2"), ["category", "label"], "left")
-        .withColumnsRenamed({"category": "_c", "label": "_y"}))
+        classes = settle(
+            strata.select("category", "label", "stratum").join(
+                quotas(strata, fraction).select("stratum", "k"), "stratum"))
+        keyed_rows = rows.join(broadcast_checked(classes).drop("k"), ["category", "label"])
+        found = hash_cuts(keyed_rows, "stratum", "_h", classes.select("stratum", "k").distinct())
+        return settle(classes.join(found, "stratum").select("category", "label", "cut"))
+
+    first = cuts(narrow, 10, train)
+    rest = narrow.join(broadcast_checked(first), ["category", "label"]).filter(
+        F.col("_h") >= F.col("cut")).drop("cut")
+    second = cuts(rest, 4, val / (val + test))
+    name = lambda cut, to: broadcast_checked(cut).withColumnsRenamed(
+        {"category": "_c", "label": "_y", "cut": to})
     side = (F.when(F.col("_h") < F.col("_cut1"), names[0])
             .when(F.col("_h") < F.col("_cut2"), names[1]).otherwise(names[2]))
     return (
-        keyed.withColumn("_y", F.col("label").cast("int")).join(both, ["_c", "_y"])
+        keyed.withColumn("_y", F.col("label").cast("int")).join(name(first, "_cut1"), ["_c", "_y"])
+        .join(name(second, "_cut2"), ["_c", "_y"], "left")
         .withColumn("split", side).drop("_c", "_y", "_h", "_cut1", "_cut2"))
 
 

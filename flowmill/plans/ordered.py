@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowmill.plans.small import broadcast_checked
+from flowmill.plans.small import broadcast_checked, column_max, settle
 from flowmill.session import cut_lineage
 
 _PART = "_part"
@@ -127,26 +127,26 @@ def hash_cuts(df: DataFrame, key: str, digest: str, wanted: DataFrame) -> DataFr
     holding rank k, until that slice is small enough to rank.  k at or beyond the key's
     size gives 'g', above every hex digit.
     """
-    targets = wanted.select(key, F.col("k").cast("long").alias("k"), F.lit("").alias("prefix"))
+    targets = settle(wanted.select(key, F.col("k").cast("long").alias("k"), F.lit("").alias("prefix")))
     depth = 0
     while True:
         depth += _SLICE_DIGITS
         counts = (
             df.select(key, F.substring(digest, 1, depth).alias("slice"))
             .withColumn("prefix", F.substring("slice", 1, depth - _SLICE_DIGITS))
-            .join(broadcast_checked(targets), [key, "prefix"])
+            .join(broadcast_checked(targets).drop("n"), [key, "prefix"])
             .groupBy(key, "k", "slice")
             .agg(F.count("*").alias("n"))
         )
-        found = cut_lineage(_rank_holder(counts, key, "slice").withColumnRenamed("slice", "prefix"))
-        largest = found.agg(F.max("n")).first()[0]
-        targets = found.drop("n")
+        found = settle(_rank_holder(counts, key, "slice").withColumnRenamed("slice", "prefix"))
+        largest = column_max(found, "n")
+        targets = found
         if largest is None or largest <= MAX_RANKED_ROWS or depth >= _MAX_DIGITS:
             break
     copies = (
         df.select(key, digest)
         .withColumn("prefix", F.substring(digest, 1, depth))
-        .join(broadcast_checked(targets), [key, "prefix"])
+        .join(broadcast_checked(targets).drop("n"), [key, "prefix"])
         .groupBy(key, "k", digest)
         .agg(F.count("*").alias("n"))
     )
