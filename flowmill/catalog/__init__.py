@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("quality", "metrics", "split", "compare"):
+    for module in ("quality", "metrics", "split", "compare", "generate", "privacy"):
         import_module(f"flowmill.catalog.{module}")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowmill.operators.compare import pooled_range
 from flowmill.operators.quality import is_numeric, unpivot_numeric
-from flowmill.plans.small import broadcast_checked
+from flowmill.plans.small import broadcast_checked, settle
 
 EPSILON = 1e-6
 METHODS = ("reference", "psi")
@@ -56,9 +56,9 @@ def bin_of(value: Column, edges: Column, bins: int = 10) -> Column:
     return rule
 
 
-def binned(df: DataFrame, edges: DataFrame, name: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
+def binned(df: DataFrame, edges: DataFrame, columns: Sequence[str], name: str, bins: int = 10,
+           by: Sequence[str] = ()) -> DataFrame:
     """(by..., feature, bin, <name>): counts of binned values.  Works on a stream too."""
-    columns = [r["feature"] for r in edges.select("feature").collect()]
     return (
         unpivot_numeric(df, columns, by).join(broadcast_checked(edges), "feature")
         .withColumn("bin", bin_of(F.col("value"), F.col("edges"), bins))
@@ -109,11 +109,10 @@ def drift_report(baseline: DataFrame, current: DataFrame, features: Sequence[str
     if not usable:
         return listed.select("feature", F.lit(None).cast("double").alias("psi"),
                              F.when(F.col("present"), "empty").otherwise("missing").alias("severity"))
-    rows = pooled_range(baseline, current, usable).collect()
-    ranges = spark.createDataFrame(rows, "feature string, low double, high double, n_a long, n_b long")
-    edges = plan_edges(ranges, bins)
-    counts = binned(baseline, edges, "n_a", bins).join(
-        binned(current, edges, "n_b", bins), ["feature", "bin"], "full").fillna(0, ["n_a", "n_b"])
+    ranges = settle(pooled_range(baseline, current, usable))
+    edges = settle(plan_edges(ranges, bins))
+    counts = binned(baseline, edges, usable, "n_a", bins).join(
+        binned(current, edges, usable, "n_b", bins), ["feature", "bin"], "full").fillna(0, ["n_a", "n_b"])
     scored = score_bins(counts, edges, method, bins)
     filled = ranges.select("feature", ((F.col("n_a") > 0) & (F.col("n_b") > 0)).alias("filled"))
     score = F.when(F.col("filled"), F.coalesce("psi", F.lit(0.0)))
