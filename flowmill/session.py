@@ -19,6 +19,8 @@ def build_session(app: str = "flowmill", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call-site capture costs more than the column calls it annotates.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowmill.functions.hashing import uniform
 from flowmill.schema import FLOW_COLUMNS
@@ -21,8 +21,14 @@ RAW_LABELS = [
 RAW_NUMBERS = ["NA", "1.0d", " 12 ", "inf", "1e3", "abc", "-7.25", "nan", "5f", "None", "3"]
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _pick(values: list[str], c: Column) -> Column:
