@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("ingest", "quality", "metrics", "split", "compare", "generate", "privacy"):
+    for module in ("ingest", "quality", "metrics", "split", "compare", "generate", "privacy", "models"):
         import_module(f"flowmill.catalog.{module}")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowmill.functions.labels import any_flag, attack_family, is_attack, subcategory
 from flowmill.functions.numeric import (
-    bytes_total, finite, null_token, packets_total, ratio, text_to_number, to_number,
+    bytes_total, finite, null_token, packets_total, ratio, to_number,
 )
 from flowmill.functions.text import clean_name
 from flowmill.schema import ALIASES, FLOW_COLUMNS, FLOW_SCHEMA, NUMERIC_FEATURES, STRING_FEATURES
@@ -150,8 +150,3 @@ def union_sources(parts: Sequence[DataFrame]) -> DataFrame:
         out = out.unionByName(part)
     return out.select(*FLOW_COLUMNS)
 
-
-__all__ = [
-    "SourceConfig", "normalize", "recast_canonical", "resolve", "text_to_number",
-    "to_flow_schema", "union_sources",
-]

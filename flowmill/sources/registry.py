@@ -84,9 +84,10 @@ def registry_by_tier(registry: DataFrame) -> DataFrame:
 def inventory(files: DataFrame, registry: DataFrame) -> DataFrame:
     """Per dataset the number and size of its data files; `files` is a recursive file_table."""
     data = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(DATA_SUFFIXES))
-    # Datasets are few; each file belongs to the one whose folder its path contains.
-    inside = F.col("path").contains(F.concat(F.lit("/"), F.col("local_dir"), F.lit("/")))
-    return (
-        F.broadcast(registry).join(data, inside, "left").groupBy("key", "name", "tier")
-        .agg(F.count("path").alias("files"),
-             (F.coalesce(F.sum("length"), F.lit(0)) / 1024**2).alias("megabytes")))
+    # The registry is driver configuration: its folders become one expression over the path.
+    owner = F.lit(None).cast("string")
+    for line in registry.select("key", "local_dir").collect():
+        owner = F.when(F.col("path").contains(f"/{line['local_dir'].strip('/')}/"), line["key"]).otherwise(owner)
+    sizes = data.groupBy(owner.alias("key")).agg(
+        F.count("*").alias("files"), (F.sum("length") / 1024**2).alias("megabytes"))
+    return registry.select("key", "name", "tier").join(sizes, "key", "left").fillna(0, ["files", "megabytes"])

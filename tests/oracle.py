@@ -43,6 +43,9 @@ def compare(spark, con, sf_dir, name, fn, sql):
     """None when equal, else a description of the difference."""
     df = fn(spark, sf_dir)
     got_names, got = _sorted(df.columns, [tuple(r) for r in df.collect()])
+    loose = [r[:2] for r in con.execute("DESCRIBE " + sql).fetchall() if r[1].startswith(("HUGEINT", "DECIMAL"))]
+    if loose:
+        return f"oracle types {loose}"
     cur = con.execute(sql)
     want_names, want = _sorted([d[0] for d in cur.description], cur.fetchall())
     if got_names != want_names:
