@@ -26,5 +26,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("ingest", "quality", "metrics", "split", "compare", "generate", "privacy", "models"):
+    for module in ("ingest", "quality", "metrics", "split", "compare", "generate", "privacy",
+                   "models", "streams"):
         import_module(f"flowmill.catalog.{module}")

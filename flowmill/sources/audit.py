@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AUDIT_SCHEMA = "ts timestamp, ip string, method string, path string, status int, ms long"
 API_PREFIX = "/api/"
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -28,4 +29,4 @@ def api_calls(log: DataFrame) -> DataFrame:
 
 def append_audit(log: DataFrame, path: str) -> None:
     """Append API calls as JSON lines."""
-    api_calls(log).write.mode("append").json(path)
+    api_calls(log).write.mode("append").option("timestampFormat", TIMESTAMP_FORMAT).json(path)
