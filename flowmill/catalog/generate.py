@@ -124,16 +124,61 @@ GENERATED = ["attack_category", "label", "attack_subcategory", "environment_type
              "protocol", "service", *FILLED, "flow_packets_per_sec", "down_up_ratio"]
 
 
-@query("generate_synthetic")
+def _text_sql(column, alias):
+    """Join lines that draw a text column for id i of category c."""
+    pick = f"floor({uniform_sql(f"'42|' || i.id || '|{column}'")} * c.n)"
+    return (f"JOIN ({_value_sql(column)}) {alias} ON {alias}.attack_category = i.attack_category"
+            f" AND {pick} >= {alias}.lo AND {pick} < {alias}.hi")
+
+
+# The whole job, up to the second jitter of exact copies, of which there are none.
+_NUMBERS = ("src_bytes", "duration", "packet_length_mean", "src_port", "total_packets_fwd")
+GENERATE = FLOW + """
+, med AS (SELECT median(packet_length_mean) AS m FROM flow),
+full_ AS (SELECT flow.* REPLACE (coalesce(packet_length_mean, m) AS packet_length_mean) FROM flow, med),
+c AS (SELECT attack_category, count(*) AS n, max(label) AS label FROM full_ GROUP BY 1),
+calm AS (SELECT * FROM c WHERE label = 0), hostile AS (SELECT *, 1 AS one FROM c WHERE label = 1),
+a AS (""" + _spread("calm", ROWS // 2, "n") + " UNION ALL " + _spread("hostile", ROWS - ROWS // 2, "one") + """),
+spans AS (SELECT attack_category, rows, CAST(sum(rows) OVER (ORDER BY attack_category) - rows AS BIGINT) AS start FROM a),
+ids AS (SELECT attack_category, unnest(range(start, CAST(start + rows AS BIGINT))) AS id FROM spans),
+real AS (SELECT *, row_number() OVER (PARTITION BY attack_category ORDER BY md5('42|' || row_key)) - 1 AS idx FROM full_),
+env AS (SELECT attack_category, environment_type FROM (SELECT attack_category, environment_type,
+  row_number() OVER (PARTITION BY attack_category ORDER BY count(*) DESC, environment_type) AS rk FROM full_ GROUP BY 1, 2) WHERE rk = 1),
+prof AS (SELECT attack_category, """ + ", ".join(
+    f"stddev_samp({c}) AS std_{c}, quantile_cont({c}, 0.005) AS lo_{c}, quantile_cont({c}, 0.995) AS hi_{c}"
+    for c in _NUMBERS) + """ FROM full_ GROUP BY 1),
+d AS (SELECT i.id, i.attack_category, c.label, CAST(least(floor(""" + uniform_sql("'42|' || i.id || '|row'") + """ * c.n), c.n - 1) AS BIGINT) AS idx,
+  vp.value AS protocol, vs.value AS service, CASE WHEN c.label = 0 THEN 'Normal' ELSE vb.value END AS attack_subcategory
+  FROM ids i JOIN c ON i.attack_category = c.attack_category """ + " ".join(
+    _text_sql(c, a) for c, a in (("protocol", "vp"), ("service", "vs"), ("attack_subcategory", "vb"))) + """)
+SELECT d.attack_category, CAST(d.label AS INTEGER) AS label, d.attack_subcategory, d.protocol, d.service, e.environment_type, 'Synthetic' AS dataset_source,
+  'generated:' || d.attack_category AS source_file, """ + ", ".join(
+    [f"round({_jitter_sql(c, False)}, 3) AS {c}" for c in ("src_bytes", "duration", "packet_length_mean")]
+    + [f"{_jitter_sql('src_port', True, True)} AS src_port", f"{_jitter_sql('total_packets_fwd', True)} AS total_packets_fwd"]) + """,
+  true AS ratio_holds
+FROM d JOIN real r ON r.attack_category = d.attack_category AND r.idx = d.idx
+JOIN prof p ON p.attack_category = d.attack_category JOIN env e ON e.attack_category = d.attack_category"""
+
+
+def _generated(spark, sf_dir):
+    real = flow_view(spark, sf_dir, extra=True).select(*GENERATED, "row_key")
+    return G.generate(real, G.GenerationRequest(rows=ROWS, mode="label_balanced"), key="row_key")
+
+
+@query("generate_synthetic", GENERATE)
 def generate_synthetic(spark, sf_dir):
-    """The whole job; its parts have SQL above, its invariants are tested."""
-    real = flow_view(spark, sf_dir).select(*GENERATED)
-    return G.generate(real, G.GenerationRequest(rows=ROWS, mode="label_balanced"))
+    """The whole job; derived columns are compared with a recomputation from their row."""
+    ratio = (F.col("src_bytes") + F.col("dst_bytes")) / (F.col("total_packets_fwd") + F.col("total_packets_bwd"))
+    out = _generated(spark, sf_dir)
+    return out.select(
+        "attack_category", F.col("label").cast("int").alias("label"), "attack_subcategory", "protocol", "service",
+        "environment_type", "dataset_source", "source_file",
+        *[F.round(c, 3).alias(c) for c in ("src_bytes", "duration", "packet_length_mean")], "src_port",
+        "total_packets_fwd", (F.abs(F.col("bytes_per_packet_ratio") - ratio) < 1e-6).alias("ratio_holds"))
 
 
 @query("generation_summary")
 def generation_summary(spark, sf_dir):
     real = flow_view(spark, sf_dir).select(*GENERATED)
-    request = G.GenerationRequest(rows=ROWS, mode="label_balanced")
-    synthetic = cut_lineage(G.generate(real, request))
-    return G.generation_summary(synthetic, real, request)
+    synthetic = cut_lineage(_generated(spark, sf_dir))
+    return G.generation_summary(synthetic, real, G.GenerationRequest(rows=ROWS, mode="label_balanced"))

@@ -211,7 +211,7 @@ def numeric_parse_issues(spark, sf_dir):
 @query("validation_summary", "WITH " + RAW + f""", c AS (SELECT {_null_sql('duration_t')} AS v FROM raw
   UNION ALL SELECT {_null_sql('bwd_t')} FROM raw),
 i AS (SELECT count(*) AS n FROM c WHERE trim(v) <> '' AND ({_number_sql('v')}) IS NULL)
-SELECT (SELECT count(*) FROM raw) AS rows, 4 AS columns, 0.75 AS feature_coverage, 3 AS features_present, 2 AS numeric_present,
+SELECT (SELECT count(*) FROM raw) AS rows, 4 AS columns, CAST(0.75 AS DOUBLE) AS feature_coverage, 3 AS features_present, 2 AS numeric_present,
   1 AS categorical_present, 1 AS missing_feature_count, 1 AS ignored_column_count, n AS parse_issues,
   CASE WHEN n = 0 THEN 'ready' ELSE 'review' END AS readiness,
   '1 model features are missing; 1 extra columns are ignored; ' || n || ' numeric cells do not parse' AS recommendations FROM i""")
@@ -219,8 +219,7 @@ def validation_summary(spark, sf_dir):
     raw = raw_source(spark, sf_dir).select(
         F.col("Flow Duration").alias("duration"), F.col("Tot Bwd Pkts").alias("total_packets_bwd"),
         F.col(" Proto ").alias("protocol"), "unrelated")
-    return Q.validation_summary(raw, ["duration", "total_packets_bwd", "src_bytes"], ["protocol"]).withColumn(
-        "feature_coverage", F.col("feature_coverage"))
+    return Q.validation_summary(raw, ["duration", "total_packets_bwd", "src_bytes"], ["protocol"])
 
 
 @query("feature_alignment", "WITH " + RAW + f"""

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowmill.catalog import query
-from flowmill.catalog.generate import GENERATED, ROWS
+from flowmill.catalog.generate import GENERATED, _generated
 from flowmill.catalog.quality import FILLED
-from flowmill.operators import generate as G
 from flowmill.operators import privacy as P
 from flowmill.operators.split import sample_rows
 from flowmill.session import cut_lineage
@@ -71,5 +70,5 @@ def distance_summary(spark, sf_dir):
 @query("privacy_report")
 def privacy_report(spark, sf_dir):
     real = flow_view(spark, sf_dir).select(*GENERATED)
-    synthetic = cut_lineage(G.generate(real, G.GenerationRequest(rows=ROWS, mode="label_balanced")))
+    synthetic = cut_lineage(_generated(spark, sf_dir))
     return P.privacy_report(real, synthetic, FILLED, max_rows=2_000)
