@@ -139,22 +139,24 @@ def _poisson_sql(u):
     return "CASE " + " ".join(whens) + " ELSE 17 END"
 
 
+# The four cells hold more than 16 rows at any scale, score groups may hold fewer.
 @query("bootstrap_ci", SCORED + """
-, groups AS (SELECT label AS y, prediction AS p, score, count(*) AS n,
-    label || '|' || prediction || '|' || CAST(round(score * 1e9) AS BIGINT) AS key FROM judged GROUP BY 1, 2, 3),
-each AS (SELECT g.*, r.round FROM groups g CROSS JOIN (SELECT unnest(range(0, 100)) AS round) r),
-small AS (SELECT y, p, score, round, key, sum(w) AS weight FROM (SELECT e.*, """ + _poisson_sql("u") + """ AS w FROM
-    (SELECT e.*, """ + uniform_sql("'boot|42|' || round || '|' || key || '|' || j") + """ AS u
-     FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM each WHERE n <= 16) e) e) GROUP BY 1, 2, 3, 4, 5),
-large AS (SELECT y, p, score, round, key, greatest(0.0, floor(n + sqrt(n) * """
-       + normal_sql("'boot|42|' || round || '|' || key") + """ + 0.5)) AS weight FROM each WHERE n > 16),
-drawn AS (SELECT y, p, score, round, CAST(weight AS BIGINT) AS weight FROM small
-  UNION ALL SELECT y, p, score, round, CAST(weight AS BIGINT) FROM large),
+, g1 AS (SELECT label AS y, prediction AS p, label || '|' || prediction AS key, count(*) AS n FROM judged GROUP BY 1, 2),
+g2 AS (SELECT label AS y, score, label || '|' || CAST(round(score * 1e9) AS BIGINT) AS key, count(*) AS n FROM judged GROUP BY 1, 2),
+w1 AS (SELECT y, p, round, CAST(greatest(0.0, floor(n + sqrt(n) * """
+       + normal_sql("'boot|42|' || round || '|' || key") + """ + 0.5)) AS BIGINT) AS weight
+  FROM g1 CROSS JOIN (SELECT unnest(range(0, 100)) AS round) r),
+w2 AS (SELECT y, score, round, CAST(sum(w) AS BIGINT) AS weight FROM (SELECT y, score, round, """ + _poisson_sql("u") + """ AS w FROM
+    (SELECT y, score, round, """ + uniform_sql("'boot|42|' || round || '|' || key || '|' || j") + """ AS u
+     FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM g2 CROSS JOIN (SELECT unnest(range(0, 100)) AS round) r WHERE n <= 16))) GROUP BY 1, 2, 3
+  UNION ALL SELECT y, score, round, CAST(greatest(0.0, floor(n + sqrt(n) * """
+       + normal_sql("'boot|42|' || round || '|' || key") + """ + 0.5)) AS BIGINT)
+    FROM g2 CROSS JOIN (SELECT unnest(range(0, 100)) AS round) r WHERE n > 16),
 cells AS (SELECT round, coalesce(sum(weight) FILTER (y = 0 AND p = 1), 0) AS fp,
   coalesce(sum(weight) FILTER (y = 1 AND p = 0), 0) AS fn, coalesce(sum(weight) FILTER (y = 1 AND p = 1), 0) AS tp
-  FROM drawn GROUP BY 1),
+  FROM w1 GROUP BY 1),
 counts AS (SELECT round, score, coalesce(sum(weight) FILTER (y = 1), 0) AS pos, coalesce(sum(weight) FILTER (y = 0), 0) AS neg
-  FROM drawn WHERE weight > 0 GROUP BY 1, 2),
+  FROM w2 WHERE weight > 0 GROUP BY 1, 2),
 sums AS (SELECT *, sum(pos) OVER (PARTITION BY round ORDER BY score DESC) AS tp FROM counts),
 values_ AS (SELECT 'f1' AS metric, 2 * tp / (2 * tp + fp + fn) AS value FROM cells
   UNION ALL SELECT 'precision', tp / (tp + fp) FROM cells UNION ALL SELECT 'recall', tp / (tp + fn) FROM cells

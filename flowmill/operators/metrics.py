@@ -176,12 +176,11 @@ def _poisson_one(u: Column) -> Column:
 
 
 def bootstrap_weights(counts: DataFrame, rounds: int, seed: int, keys: list[str]) -> DataFrame:
-    """Resampled multiplicity of each counted group per round.
+    """Resampled multiplicity (`weight`) of each counted group (`n` rows) per round.
 
-    A resample with replacement of n rows gives a group of c equal rows a
-    Poisson(c) weight.  Groups are collapsed first, so the work grows with distinct
-    groups, not rows: up to 16 copies draw one Poisson(1) each, larger groups use
-    the normal approximation.
+    A resample with replacement gives a group of n equal rows a Poisson(n) weight.  Groups
+    are collapsed first, so the work grows with distinct groups, not rows: up to 16 copies
+    draw one Poisson(1) each, larger groups use the normal approximation.
     """
     each = counts.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     parts = [F.lit("boot"), F.lit(str(seed)), F.col("round"), *[F.col(k) for k in keys]]
@@ -194,19 +193,30 @@ def bootstrap_weights(counts: DataFrame, rounds: int, seed: int, keys: list[str]
 
 
 def bootstrap_ci(df: DataFrame, rounds: int = 100, seed: int = 42, label: str = "label",
-                 prediction: str = "prediction", score: str = "score") -> DataFrame:
-    """(metric, low, high): 95 % bootstrap intervals of f1, precision, recall and roc_auc."""
+                 prediction: str = "prediction", score: str = "score",
+                 auc_step: float | None = None) -> DataFrame:
+    """(metric, low, high): 95 % bootstrap intervals of f1, precision, recall and roc_auc.
+
+    Precision, recall and f1 resample the four confusion cells.  The area resamples
+    distinct (label, score) groups; auc_step rounds scores down to a multiple of it where
+    a table holds too many distinct scores to carry every round.
+    """
     scored = df.select(
         F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("p"),
         F.col(score).alias("score"))
-    groups = scored.groupBy("y", "p", "score").agg(F.count("*").alias("n")).withColumn(
-        "key", F.concat_ws("|", F.col("y"), F.col("p"), F.round(F.col("score") * 1e9).cast("long")))
-    drawn = bootstrap_weights(groups, rounds, seed, ["key"]).filter("weight > 0")
-    by_cell = drawn.groupBy("round").agg(*[
+    cells = bootstrap_weights(
+        scored.groupBy("y", "p").agg(F.count("*").alias("n")), rounds, seed, ["y", "p"])
+    by_cell = cells.groupBy("round").agg(*[
         F.coalesce(F.sum(F.when((F.col("y") == a) & (F.col("p") == b), F.col("weight"))), F.lit(0)).alias(c)
         for c, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))])
     rates = with_scores(by_cell).select(F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("f1", "precision", "recall")])))
+
+    if auc_step:
+        scored = scored.withColumn("score", F.floor(F.col("score") / auc_step) * auc_step)
+    groups = scored.groupBy("y", "score").agg(F.count("*").alias("n")).withColumn(
+        "at", F.round(F.col("score") * 1e9).cast("long"))
+    drawn = bootstrap_weights(groups, rounds, seed, ["y", "at"]).filter("weight > 0")
     by_score = drawn.groupBy("round", "score").agg(
         F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("weight"))), F.lit(0)).alias("pos"),
         F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("weight"))), F.lit(0)).alias("neg"))
