@@ -227,15 +227,15 @@ def category_numeric_profile(spark, sf_dir):
 @query("median_fill", FLOW + ", med AS (SELECT " + ", ".join(
     f"coalesce(median({c}), 0.0) AS m_{c}" for c in ("packet_length_mean", "idle_mean", "active_std")
 ) + """ FROM flow)
-SELECT attack_category, round(sum(coalesce(packet_length_mean, m_packet_length_mean)), 4) AS packet_length_mean,
-  round(sum(coalesce(idle_mean, m_idle_mean)), 4) AS idle_mean,
-  round(sum(coalesce(active_std, m_active_std)), 4) AS active_std, count(service) AS service
+SELECT attack_category, round(avg(coalesce(packet_length_mean, m_packet_length_mean)), 6) AS packet_length_mean,
+  round(avg(coalesce(idle_mean, m_idle_mean)), 6) AS idle_mean,
+  round(avg(coalesce(active_std, m_active_std)), 6) AS active_std, count(service) AS service
 FROM flow, med GROUP BY 1""")
 def median_fill(spark, sf_dir):
     filled = Q.fill_missing(flow_view(spark, sf_dir),
                             ["packet_length_mean", "idle_mean", "active_std"], ["service"])
     return filled.groupBy("attack_category").agg(
-        *[F.round(F.sum(c), 4).alias(c) for c in ("packet_length_mean", "idle_mean", "active_std")],
+        *[F.round(F.avg(c), 6).alias(c) for c in ("packet_length_mean", "idle_mean", "active_std")],
         F.count("service").alias("service"))
 
 

@@ -13,13 +13,18 @@ from flowmill.schema import (
 )
 
 
-def is_attack(text: Column, number: Column) -> Column:
-    """0/1: a numeric value decides by being non-zero, other text by not meaning normal."""
-    word = F.lower(clean_label(text))
+def label_of(word: Column, number: Column) -> Column:
+    """0/1: a numeric value decides by being non-zero, a cleaned lower-case word by not
+    meaning normal."""
     from_text = (word != "") & ~word.isin(NORMAL_WORDS)
     return F.when(number.isNotNull(), number != 0).otherwise(from_text).cast("int")
 
 
+def is_attack(text: Column, number: Column) -> Column:
+    """label_of a raw text."""
+    return label_of(F.lower(clean_label(text)), number)
+
+
 def any_flag(numbers: list[Column]) -> Column:
     """0/1: some column is a non-zero number."""
     flags = [F.coalesce(n, F.lit(0.0)) != 0 for n in numbers]
@@ -31,9 +36,14 @@ def subcategory(raw: Column, label: Column) -> Column:
 
 
 def attack_family(raw: Column, label: Column) -> Column:
-    """Family of an attack name: exact names first, then substring rules in order."""
+    """Family of a raw attack name."""
     name = clean_label(raw)
-    word = F.lower(name)
+    return family_of(name, F.lower(name), label)
+
+
+def family_of(name: Column, word: Column, label: Column) -> Column:
+    """Family of a cleaned attack name and its lower-case form: exact names first, then
+    substring rules in order."""
     by_name: dict[str, list[str]] = {}
     for attack, family in FAMILY_BY_NAME.items():
         by_name.setdefault(family, []).append(attack)

@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowmill.functions.labels import any_flag, attack_family, is_attack, subcategory
+from flowmill.functions.labels import any_flag, family_of, label_of
 from flowmill.functions.numeric import (
     bytes_total, finite, null_token, packets_total, ratio, to_number,
 )
-from flowmill.functions.text import clean_name
+from flowmill.functions.text import clean_label, clean_name
 from flowmill.schema import ALIASES, FLOW_COLUMNS, FLOW_SCHEMA, NUMERIC_FEATURES, STRING_FEATURES
 
 
@@ -67,7 +67,8 @@ class _Raw:
         return self._cell(name).cast("string")
 
     def number(self, name: str) -> Column:
-        return to_number(self._cell(name), self.types[name])
+        # No spelling of a missing cell reads as a number.
+        return to_number(F.col("`" + name.replace("`", "``") + "`"), self.types[name])
 
 
 def normalize(df: DataFrame, cfg: SourceConfig, source_file: Column | None = None) -> DataFrame:
@@ -78,15 +79,14 @@ def normalize(df: DataFrame, cfg: SourceConfig, source_file: Column | None = Non
     raw = _Raw(df)
     label_col, attack_col = raw.find(cfg.label_column), raw.find(cfg.attack_column)
 
+    # Texts are cleaned once, in a projection of their own: every rule below reads them.
+    label_text = raw.text(label_col or attack_col) if (label_col or attack_col) else F.lit(None).cast("string")
+    label_number = raw.number(label_col or attack_col) if (label_col or attack_col) else F.lit(None).cast("double")
     if cfg.auxiliary_label_columns:
         found = [raw.find(c) for c in (cfg.label_column, *cfg.auxiliary_label_columns)]
         label = any_flag([raw.number(c) for c in found if c])
-    elif label_col or attack_col:
-        name = label_col or attack_col
-        label = is_attack(raw.text(name), raw.number(name))
     else:
-        label = F.lit(0)
-
+        label = label_of(F.col("_word"), F.col("_number"))
     named = attack_col or label_col
     attack_text = raw.text(named) if named else F.lit("Attack")
 
@@ -108,21 +108,26 @@ def normalize(df: DataFrame, cfg: SourceConfig, source_file: Column | None = Non
         F.lit(cfg.name or cfg.key).alias("dataset_source"),
         source_file.alias("source_file"),
         F.lit(cfg.environment).alias("environment_type"),
-        label.alias("label"),
-        attack_text.alias("_attack"),
+        F.lower(clean_label(label_text)).alias("_word"),
+        label_number.alias("_number"),
+        (label if cfg.auxiliary_label_columns else F.lit(None).cast("int")).alias("label"),
+        clean_label(attack_text).alias("_attack"),
         *[string_feature(c).alias(c) for c in STRING_FEATURES],
         *[numeric_feature(c).alias(c) for c in NUMERIC_FEATURES],
     )
-    sub = subcategory(F.col("_attack"), F.col("label"))
+    if not cfg.auxiliary_label_columns:
+        first = first.withColumn("label", label)
+    second = first.withColumn(
+        "attack_subcategory", F.when(F.col("label") == 0, "Normal").otherwise(F.col("_attack"))
+    ).withColumn("_word", F.lower("attack_subcategory"))
     if cfg.auxiliary_label_columns:
         family = F.when(F.col("label") == 0, "Normal").otherwise("Anomaly")
     else:
-        family = attack_family(sub, F.col("label"))
+        family = family_of(F.col("attack_subcategory"), F.col("_word"), F.col("label"))
     measured = F.coalesce(F.col("bytes_per_packet_ratio"), ratio(bytes_total(), packets_total()))
     # The ratio sees infinite operands as they were read; they are dropped afterwards.
-    out = first.withColumns(
-        {"attack_subcategory": sub, "attack_category": family, "bytes_per_packet_ratio": measured}
-    ).withColumns({c: finite(F.col(c)) for c in NUMERIC_FEATURES})
+    out = second.withColumns({"attack_category": family, "bytes_per_packet_ratio": measured}).withColumns(
+        {c: finite(F.col(c)) for c in NUMERIC_FEATURES if raw.find(ALIASES[c]) or c == "bytes_per_packet_ratio"})
     return to_flow_schema(out)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowmill.functions.numeric import null_token, text_to_number, to_number
 from flowmill.plans.ordered import exact_quantiles
-from flowmill.plans.small import broadcast_checked
+from flowmill.plans.small import broadcast_checked, settle
 from flowmill.schema import (
     LINEAGE_COLUMNS, META_COLUMNS, NON_NEGATIVE, PORT_COLUMNS, PORT_MAX, STRING_FEATURES,
 )
@@ -229,9 +229,11 @@ def quality_report(before: DataFrame, after: DataFrame) -> DataFrame:
     numeric, categorical = feature_classes(after, categorical=())
     n_before = before.agg(F.count("*").alias("value")).select(
         F.lit("rows").alias("section"), F.lit("before_dedup").alias("key"), "value")
-    counted = after.agg(
+    # Counted once each: the lines below read these results several times.
+    n_before = settle(n_before)
+    counted = settle(after.agg(
         F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in after.columns]
-    )
+    ))
     n_after = counted.select(
         F.lit("rows").alias("section"), F.lit("after_dedup").alias("key"), F.col("rows").alias("value"))
     missing = (
@@ -264,7 +266,12 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median per column, 0.0 for empty ones."""
-    rows = exact_quantiles(unpivot_numeric(df, columns), ["feature"], "value", [0.5]).collect()
+    wide = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns
+                    for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))])
+    ranges = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"lo_{c}").cast("double").alias("low"),
+                 F.col(f"hi_{c}").cast("double").alias("high"), F.col(f"n_{c}").alias("n")) for c in columns])))
+    rows = exact_quantiles(unpivot_numeric(df, columns), ["feature"], "value", [0.5], ranges).collect()
     found = {r["feature"]: r["quantile"] for r in rows}
     return {c: float(found.get(c, 0.0)) for c in columns}
 
@@ -296,16 +303,18 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], key: str = "attack_ca
                      F.col(f"lo_{c}").cast("double").alias("low"),
                      F.col(f"hi_{c}").cast("double").alias("high"), F.col(f"n_{c}").alias("n"))
             for c in columns])))
-        .filter("n > 0").drop("n").fillna(0.0, ["std"])
+        .filter("n > 0").fillna(0.0, ["std"])
     )
     if q == 0:
-        return spread
+        return spread.drop("n")
+    spread = settle(spread)
     bounds = (
-        exact_quantiles(unpivot_numeric(df, columns, [key]), [key, "feature"], "value", [q, 1 - q])
+        exact_quantiles(unpivot_numeric(df, columns, [key]), [key, "feature"], "value", [q, 1 - q],
+                        spread.select(key, "feature", "low", "high", "n"))
         .groupBy(key, "feature")
         .agg(F.min_by("quantile", "prob").alias("low"), F.max_by("quantile", "prob").alias("high"))
     )
-    return spread.drop("low", "high").join(broadcast_checked(bounds), [key, "feature"])
+    return spread.drop("low", "high", "n").join(broadcast_checked(bounds), [key, "feature"])
 
 
 def constraint_violations(df: DataFrame) -> DataFrame:

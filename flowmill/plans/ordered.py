@@ -15,6 +15,8 @@ from flowmill.plans.small import broadcast_checked, column_max, settle
 from flowmill.session import cut_lineage
 
 _PART = "_part"
+# Bin counts kept on the driver between rounds: numbers only, a few megabytes.
+MAX_BIN_ROWS = 300_000
 
 
 def running_totals(
@@ -73,42 +75,97 @@ def running_totals(
     )
 
 
+def value_ranges(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, low, high, n) of the non-null values per key."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n"))
+
+
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], ranges: DataFrame | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per key: columns keys, prob, quantile.
 
-    Built-in `percentile` keeps every distinct value of a group in one task's memory;
-    this reads the two neighbouring order statistics off the running counts instead.
+    Selection instead of sorting.  Values are counted in 1,024 bins between each key's
+    bounds; the bin holding a wanted rank gives new bounds, and only values inside small
+    enough bins are ranked.  The table is scanned two or three times and what is shuffled
+    are bin counts; built-in `percentile` would hold every distinct value of a group in one
+    task.  `ranges` (keys, low, high, n) saves the first scan where it is already known.
     """
     keys = list(keys)
-    collapsed = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    )
-    ranked = running_totals(collapsed, keys, value, ["n"])
-
-    def target(p: float) -> Column:
-        pos = F.lit(float(p)) * (F.col("n_total") - 1)
-        low, high = F.floor(pos), F.ceil(pos)
-        inside = lambda r: (F.col("n_before") <= r) & (r < F.col("n_before") + F.col("n"))
-        return F.struct(
-            F.lit(float(p)).alias("prob"),
-            (pos - low).alias("frac"),
-            F.when(inside(low), F.col(value)).alias("low"),
-            F.when(inside(high), F.col(value)).alias("high"),
-        )
-
-    hits = (
-        ranked.select(*keys, F.explode(F.array(*[target(p) for p in probs])).alias("t"))
-        .select(*keys, "t.*")
-        .filter(F.col("low").isNotNull() | F.col("high").isNotNull())
-    )
+    known = settle(value_ranges(df, keys, value) if ranges is None else ranges)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    positions = known.filter("n > 0").select(*keys, F.col("low").cast("double").alias("low"),
+                                             F.col("high").cast("double").alias("high"), "n",
+                                             F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    position = F.col("prob") * (F.col("n") - 1)
+    ends = positions.select(
+        *keys, "prob", (position - F.floor(position)).alias("frac"), "low", "high", "n",
+        F.floor(position).cast("long").alias("low_rank"), F.ceil(position).cast("long").alias("high_rank"))
+    wanted = ends.select(*keys, "low", "high", "n", F.explode(F.array("low_rank", "high_rank")).alias("rank")).distinct()
+    # `at` is the rank inside the bounds, which narrow around it.
+    open_ = settle(wanted.withColumn("at", F.col("rank")))
+    ends = settle(ends.drop("low", "high", "n"))
+    found = None
+    for _ in range(_MAX_ROUNDS):
+        done = open_.filter("low = high").select(*keys, "rank", F.col("low").alias("found"))
+        found = done if found is None else found.unionByName(done)
+        open_ = settle(open_.filter("low < high"))
+        largest = column_max(open_, "n")
+        if largest is None or largest <= MAX_RANKED_ROWS:
+            break
+        open_ = settle(_narrow(rows, open_, keys))
+    if column_max(open_, "n") is not None:
+        found = found.unionByName(_rank_inside(rows, open_, keys))
+    found = settle(found)
+    pick = lambda rank, name: found.select(*keys, F.col("rank").alias(rank), F.col("found").alias(name))
     return (
-        hits.groupBy(*keys, "prob")
-        .agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("frac").alias("frac"))
-        .select(*keys, "prob",
-                (F.col("low") + (F.col("high") - F.col("low")) * F.col("frac")).alias("quantile"))
-    )
+        ends.join(pick("low_rank", "_a"), [*keys, "low_rank"])
+        .join(pick("high_rank", "_b"), [*keys, "high_rank"])
+        .select(*keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("frac")).alias("quantile")))
+
+
+_QUANTILE_BINS = 1024
+_MAX_ROUNDS = 40
+
+
+def _inside(rows: DataFrame, bounds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows within each of their key's few bounds."""
+    if keys:
+        joined = rows.join(broadcast_checked(bounds), list(keys))
+    else:
+        joined = rows.join(broadcast_checked(bounds), F.lit(True))
+    return joined.filter((F.col("_v") >= F.col("low")) & (F.col("_v") <= F.col("high")))
+
+
+def _narrow(rows: DataFrame, open_: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replace the bounds of every open rank by those of the bin that holds it."""
+    bounds = settle(open_.select(*keys, "low", "high").distinct())
+    span = [*keys, "low", "high"]
+    # Halves keep the difference finite for the widest doubles.
+    share = (F.col("_v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+    binned = _inside(rows, bounds, keys).withColumn(
+        "_bin", F.least(F.floor(share * _QUANTILE_BINS), F.lit(_QUANTILE_BINS - 1)))
+    counts = binned.groupBy(*span, "_bin").agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    upto = F.sum("_c").over(Window.partitionBy(*span).orderBy("_bin"))
+    counts = settle(counts.select("*", upto.alias("_upto")), max_rows=MAX_BIN_ROWS)
+    hit = open_.join(counts, span).filter(
+        (F.col("at") < F.col("_upto")) & (F.col("at") >= F.col("_upto") - F.col("_c")))
+    return hit.select(*keys, "rank", F.col("_lo").alias("low"), F.col("_hi").alias("high"), F.col("_c").alias("n"),
+                      (F.col("at") - F.col("_upto") + F.col("_c")).alias("at"))
+
+
+def _rank_inside(rows: DataFrame, open_: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, rank, found) by ranking the distinct values inside small bounds."""
+    span = [*keys, "low", "high"]
+    bounds = settle(open_.select(*span).distinct())
+    counts = _inside(rows, bounds, keys).groupBy(*span, "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*span).orderBy("_v"))
+    return (
+        counts.withColumn("_upto", upto).join(broadcast_checked(open_), span)
+        .filter((F.col("at") < F.col("_upto")) & (F.col("at") >= F.col("_upto") - F.col("_c")))
+        .select(*keys, "rank", F.col("_v").alias("found")))
 
 
 _SLICE_DIGITS = 3

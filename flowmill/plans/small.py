@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowmill.session import cut_lineage
 
-MAX_BROADCAST_ROWS = 20_000
+MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 # Set on frames made by `settle` that hold their rows as a local relation.
 _LOCAL = "_flowmill_local_rows"
@@ -18,7 +19,7 @@ def settle(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     if hasattr(df, _LOCAL):
         return df
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > MAX_BROADCAST_BYTES:
         return cut_lineage(df)
     local = df.sparkSession.createDataFrame(rows, df.schema)
     setattr(local, _LOCAL, rows)

@@ -8,21 +8,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings the operators are designed for.
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM does not compile methods beyond 8,000 bytes of code, so a fused stage over the
+    # 47-column table would run interpreted; such stages are generated per operator instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Call-site capture costs more than the column calls it annotates.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply SETTINGS to a running session where it has none of its own."""
+    for key, value in SETTINGS.items():
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "flowmill", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution and skew handling switched on."""
+    """A session in UTC with SETTINGS; keyword settings win."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    settings = SETTINGS | {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Call-site capture costs more than the column calls it annotates.
-        "spark.python.sql.dataFrameDebugging.enabled": "false",
-    }
-    settings.update(conf)
+    } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
