@@ -163,9 +163,9 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
     # Rounding leaves a constant column with a tiny variance; compare with its scale.
     spread = (vx > 1e-12 * n * sxx) & (vy > 1e-12 * n * syy)
-    value = F.when(spread, F.try_divide(n * sxy - sx * sy, F.sqrt(vx * vy)))
-    value = F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)), F.lit(0.0))
-    value = F.when(spread & (F.col("i") == F.col("j")), 1.0).otherwise(value)
+    value = F.try_divide(n * sxy - sx * sy, F.sqrt(vx * vy))
+    value = F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
+    value = F.when(spread, value).otherwise(0.0)
     name = lambda c: F.element_at(F.array(*[F.lit(k) for k in columns]), F.col(c) + 1)
     upper = sums.select("i", "j", value.alias("correlation"))
     lower = upper.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "correlation")

@@ -324,6 +324,8 @@ def constraint_violations(df: DataFrame) -> DataFrame:
               for c in NON_NEGATIVE if c in types and is_numeric(types[c])}
     checks |= {f"port_range:{c}": (F.col(c) < 0) | (F.col(c) > PORT_MAX)
                for c in PORT_COLUMNS if c in types}
+    if not checks:
+        return df.sparkSession.createDataFrame([], "constraint string, column string, rows long")
     counts = df.agg(*[F.count_if(rule).alias(name) for name, rule in checks.items()])
     return _stack(counts, list(checks), "check", "rows").filter("rows > 0").select(
         F.substring_index("check", ":", 1).alias("constraint"),

@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from flowmill.operators.normalize import SourceConfig, normalize, union_sources
 from flowmill.schema import KDD_COLUMNS
 
-_OVERFLOW = "_overflow"
-# A cell text no file holds: keeps empty cells apart from absent ones.
-_NO_NULL = "\u0001"
+_RECORD = "_record"
 
 HEADERLESS = {
     "kdd": [*KDD_COLUMNS, "attack"],
@@ -23,14 +21,18 @@ HEADERLESS = {
 def _read_csv(spark: SparkSession, paths: Sequence[str], names: Sequence[str], header: bool,
               multi_line: bool) -> DataFrame:
     """All-text CSV.  Short lines are padded with nulls; lines with too many fields are dropped."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _OVERFLOW]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RECORD]])
     df = (
         spark.read.schema(schema).option("header", header).option("enforceSchema", True)
-        .option("mode", "PERMISSIVE").option("nullValue", _NO_NULL).option("emptyValue", "")
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RECORD)
         .option("encoding", "UTF-8").option("multiLine", multi_line).option("escape", '"')
         .csv(list(paths)))
-    # A field beyond the last name makes the overflow cell non-null, even when it is empty.
-    return df.filter(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
+    # The record text is kept only for lines of another length; separators outside quotes
+    # tell the short ones, which end in a null, from the long ones.
+    record = F.regexp_replace(F.col(_RECORD), '"[^"]*"', "")
+    separators = F.length(record) - F.length(F.replace(record, F.lit(","), F.lit("")))
+    short = F.col(f"`{names[-1]}`").isNull() & (separators < len(names))
+    return df.filter(F.col(_RECORD).isNull() | short).drop(_RECORD)
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
