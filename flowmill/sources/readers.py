@@ -25,7 +25,8 @@ def _read_csv(spark: SparkSession, paths: Sequence[str], names: Sequence[str], h
     df = (
         spark.read.schema(schema).option("header", header).option("enforceSchema", True)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RECORD)
-        .option("encoding", "UTF-8").option("multiLine", multi_line).option("escape", '"')
+        # A pruned scan would not see how long a line is.
+        .option("columnPruning", False).option("encoding", "UTF-8").option("multiLine", multi_line).option("escape", '"')
         .csv(list(paths)))
     # The record text is kept only for lines of another length; separators outside quotes
     # tell the short ones, which end in a null, from the long ones.
