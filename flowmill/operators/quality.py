@@ -150,7 +150,7 @@ def unknown_facet_values(df: DataFrame, **wanted) -> DataFrame:
 
 def check_generation_request(rows: int, mode: str, minimum_per_category: int,
                              noise_scale: float, clip_quantile: float) -> None:
-    """Range checks of a generation request."""
+    """Range checks of an interactive generation request; batch jobs may ask for more rows."""
     problems = {
         "mode must be proportional, balanced or label_balanced":
             mode not in ("proportional", "balanced", "label_balanced"),

@@ -24,7 +24,7 @@ SETTINGS = {
 def tune(spark: SparkSession) -> SparkSession:
     """Apply SETTINGS to a running session where it has none of its own."""
     for key, value in SETTINGS.items():
-        if spark.sparkContext.getConf().get(key) is None:
+        if spark.conf.isModifiable(key) and spark.sparkContext.getConf().get(key) is None:
             spark.conf.set(key, value)
     return spark
 

@@ -94,7 +94,9 @@ def throttle_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int =
                     window_seconds: float = WINDOW_SECONDS, late_after: str = "1 minute") -> DataFrame:
     """The same decision on a stream: (key, ts, tie, accepted, late).
 
-    State per key is the accepted times still in the window, at most `limit` of them.
+    State per key is the accepted times still in the window, at most `limit` of them.  A
+    micro-batch sorts each key's new events, so its size (maxFilesPerTrigger or the like)
+    bounds what a task holds.
     Events behind the watermark are not decided: accepted is null and late is true.
     """
     window = int(window_seconds * SECOND)

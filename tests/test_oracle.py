@@ -30,3 +30,11 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_tune_leaves_static_and_given_settings_alone(spark):
+    from flowmill.session import SETTINGS, tune
+
+    other = spark.newSession()
+    tune(other)
+    assert other.conf.get("spark.sql.codegen.hugeMethodLimit") == SETTINGS["spark.sql.codegen.hugeMethodLimit"]

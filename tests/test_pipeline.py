@@ -283,3 +283,14 @@ def test_membership(spark):
     assert Q.exact_matches(made, real, []).count() == 0
     q = Q.generation_quality(made, real).first()
     assert (q.schema_match, q.missing_cells, q.duplicate_rows, q.exact_real_row_matches) == (True, 2, 1, 3)
+
+
+def test_preview_and_fallback(spark):
+    df = spark.createDataFrame([(float(i), "x", 1) for i in range(9)], "duration double, note string, label int")
+    p = Q.preview(df, ["duration", "src_bytes"], ["protocol"])
+    assert p.columns == ["duration", "note", "label"] and p.count() == 5
+    assert Q.by_label_or_all(df, 1).count() == 9 and Q.by_label_or_all(df, 0).count() == 9
+    r = Q.validation_summary(df.limit(0), ["duration"], []).first()
+    assert r.readiness == "not_ready"
+    assert Q.validation_summary(df, ["duration"], []).first().readiness == "ready"
+    assert Q.validation_summary(df, ["duration", "src_bytes", "dst_bytes", "src_port"], []).first().readiness == "not_ready"
