@@ -264,23 +264,37 @@ def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     return df.select(*keep, F.inline(lines)).filter(F.col("value").isNotNull())
 
 
-def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact median per column, 0.0 for empty ones."""
-    wide = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns
-                    for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))])
-    ranges = wide.select(F.inline(F.array(*[
+def column_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, low, high, n, rows): bounds and filled cells of numeric columns in one aggregate."""
+    wide = df.agg(F.count("*").alias("rows"), *[
+        f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))])
+    return wide.select("rows", F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"lo_{c}").cast("double").alias("low"),
                  F.col(f"hi_{c}").cast("double").alias("high"), F.col(f"n_{c}").alias("n")) for c in columns])))
-    rows = exact_quantiles(unpivot_numeric(df, columns), ["feature"], "value", [0.5], ranges).collect()
+
+
+def medians(df: DataFrame, columns: Sequence[str], only_missing: bool = False) -> dict[str, float]:
+    """Exact median per column, 0.0 for empty ones; only_missing leaves out full columns."""
+    if not columns:
+        return {}
+    ranges = settle(column_ranges(df, columns))
+    if only_missing:
+        ranges = settle(ranges.filter("n < rows"))
+    listed = [r["feature"] for r in ranges.select("feature").collect()]
+    if not listed:
+        return {}
+    rows = exact_quantiles(unpivot_numeric(df, listed), ["feature"], "value", [0.5],
+                           settle(ranges.drop("rows"))).collect()
     found = {r["feature"]: r["quantile"] for r in rows}
-    return {c: float(found.get(c, 0.0)) for c in columns}
+    return {c: float(found.get(c, 0.0)) for c in listed}
 
 
 def fill_missing(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Median for numbers, empty text for the rest."""
-    middle = medians(df, numeric)
+    middle = medians(df, numeric, only_missing=True)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c])) if c in middle else F.col(c).cast("double")
     return df.withColumns(
-        {c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c])) for c in numeric}
+        {c: number(c) for c in numeric}
         | {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical}
     )
 
