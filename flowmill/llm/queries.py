@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowmill.llm import decontaminate, line_dedup, secrets
+from flowmill.llm import bpe, decontaminate, html_extract, line_dedup, quality, repetition, secrets
 from flowmill.llm.common import table
 from flowmill.session import tune
 
@@ -75,3 +75,33 @@ GROUP BY doc_id, s.item_id HAVING count(*) * 100 >= max(n_item) * 80
 @query("op9_decontaminate", CONTAINMENT_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_tag_path_ratios")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op2_repetition_coverage")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def byte_vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
+@query("op10_quality_trees")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
