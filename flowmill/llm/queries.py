@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowmill.llm import bpe, decontaminate, html_extract, line_dedup, quality, repetition, secrets
+from flowmill.llm import (bpe, decontaminate, html_extract, line_dedup, minhash, quality, repetition, secrets,
+                          sentence_spans, suffix_dedup)
 from flowmill.llm.common import table
 from flowmill.session import tune
 
@@ -88,6 +89,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.apply_rules(table(spark, sf_dir, "documents"))
 
 
+MIN_SCORE = 0.7  # documents below are rejected
+
+
 def byte_vocabulary() -> bpe.Vocabulary:
     import public_tokenizers
 
@@ -104,4 +108,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+                         (F.col("score") >= MIN_SCORE).cast("int").alias("predicted"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_sentence_spans")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.drop_repeated_spans(docs)
+
+
+@query("op8_circulant_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
