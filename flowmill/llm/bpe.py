@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,128 +101,160 @@ def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return values[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def _exploded(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int) -> DataFrame:
-    """(word, block, positions): the words of each block of documents with their positions in it. A
-    block's first row has no positions but its documents and their word counts."""
-    schema = T.StructType([
-        T.StructField("word", T.BinaryType()), T.StructField("block", T.LongType()),
-        T.StructField("positions", T.BinaryType()),
-        T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
-        T.StructField("counts", T.ArrayType(T.LongType()))])
-    pattern = vocabulary.pattern
+def _pieces(lengths: np.ndarray, data: bytes) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [data[e - n:e] for e, n in zip(ends, lengths.tolist())]
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    return pa.Codec("zstd", 3).compress(values.astype("<u4").tobytes(), asbytes=True)
+
+
+def _expand(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), "<u4").astype(np.int64)
+
+
+def _exploded(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
+    """Blocks of documents: their pre-tokens as word numbers by position, and the block's distinct words."""
+    schema = ("block long, docs binary, n_codes long, codes binary, n_words long, lengths binary, "
+              "n_bytes long, words binary")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         import regex
 
         split = regex.compile(pattern).findall
-        base, done = TaskContext.get().partitionId() << 33, 0
-
-        def block(ids, words, counts, id_type):
-            nonlocal done
-            number: dict[str, int] = {}
-            codes = np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words))
-            order = np.argsort(codes, kind="stable")
-            sizes = np.bincount(codes, minlength=len(number))
-            firsts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if len(number) else np.zeros(0, np.int64)
-            steps = np.diff(order, prepend=0)
-            steps[firsts] = order[firsts]
-            data, bounds = pack_numbers(steps, sizes)
-            name = base | done
-            done += 1
-            n, names = len(number), list(number)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([name.to_bytes(8, "little")], pa.binary()), pa.array([name], pa.int64()),
-                pa.nulls(1, pa.binary()), pa.array([ids], pa.list_(id_type)),
-                pa.array([counts], pa.list_(pa.int64()))], names=schema.names)
-            for at in range(0, n, 20_000):
-                to = min(n, at + 20_000)
-                part = bounds[at:to + 1]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([w.encode() for w in names[at:to]], pa.binary()),
-                    pa.array(np.full(to - at, name)), binary_array(data[part[0]:part[-1]], part - part[0]),
-                    pa.nulls(to - at, pa.list_(id_type)), pa.nulls(to - at, pa.list_(pa.int64()))],
-                    names=schema.names)
-
-        ids, words, counts, held, id_type = [], [], [], 0, None
+        base, done, codec = TaskContext.get().partitionId() << 33, 0, pa.Codec("zstd", 3)
+
+        def block(ids, counts, codes, number):
+            head = pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64())], names=["doc_id", "n"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema) as out:
+                out.write_batch(head)
+            words = [w.encode() for w in number]
+            data = b"".join(words)
+            row = [base | done, sink.getvalue().to_pybytes(), len(codes), _squeeze(np.array(codes, np.int64)),
+                   len(words), _squeeze(np.fromiter(map(len, words), np.int64, len(words))),
+                   len(data), codec.compress(data, asbytes=True)]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+        ids, counts, codes, held, number = [], [], [], 0, {}
         for batch in batches:
-            id_type = batch.column("doc_id").type
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            column, first = batch.column("doc_id"), 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 found = split(text) if text else []
-                ids.append(doc_id)
-                words += found
+                codes += [number.setdefault(w, len(number)) for w in found]
                 counts.append(len(found))
                 held += len(text or "")
                 if held >= block_bytes:
-                    yield from block(ids, words, counts, id_type)
-                    ids, words, counts, held = [], [], [], 0
-        if ids:
-            yield from block(ids, words, counts, id_type)
+                    ids.append(column.slice(first, i + 1 - first))
+                    yield block(pa.concat_arrays(ids), counts, codes, number)
+                    done, first = done + 1, i + 1
+                    ids, counts, codes, held, number = [], [], [], 0, {}
+            ids.append(column.slice(first))
+        if counts:
+            yield block(pa.concat_arrays(ids), counts, codes, number)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _with_ids(exploded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The rows with the ids of their word in place of it. Rows come sorted by word, so each distinct
-    word is encoded once in the whole job and no table of words is held."""
-    schema = T.StructType([T.StructField("ids", T.BinaryType()), *exploded.schema.fields[1:]])
+def _block_words(row: dict) -> list[bytes]:
+    return _pieces(_expand(row["lengths"], row["n_words"]),
+                   pa.Codec("zstd").decompress(row["words"], row["n_bytes"], asbytes=True))
 
-    def run(batches):
-        encode, known, known_ids = vocabulary.encoder(), None, b""
-        for batch in batches:
-            out = []
-            headers = batch.column("positions").is_null().to_pylist()
-            for word, header in zip(batch.column("word").to_pylist(), headers):
-                if header:
-                    out.append(b"")
-                    continue
-                if word != known:
-                    known, known_ids = word, np.array(encode(word), "<u4").tobytes()
-                out.append(known_ids)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *batch.columns[1:]], names=schema.names)
 
-    return exploded.repartition("word").sortWithinPartitions("word").mapInArrow(run, schema)
+def _word_buckets(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers in order of bucket, and where each bucket begins."""
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
     """doc_id and `ids` (little-endian unsigned 32-bit token ids) of every whole text.
 
-    Every task splits its documents into pre-tokens and explodes them with positions, folded to one
-    row per word and block of about `block_bytes` characters (a longer document is a block of its own). The
-    rows are shuffled by word, sorted, and each distinct word is encoded once; a word of every document
-    is one row per block, not one per occurrence. A second shuffle brings a block's rows together,
-    which put the ids at their positions. Two shuffles, no join, no state beyond a block.
+    Every task splits its documents into pre-tokens and explodes them by position, in blocks of about
+    `block_bytes` characters (a longer document is a block of its own): each position holds the number of its
+    word among the block's distinct words. These words are shuffled to buckets by hash, so all blocks'
+    copies of a word meet and each distinct word is encoded once in the whole job; a word of every
+    document is one entry per block, not one per occurrence. Its ids go back to the blocks that hold
+    it, and the ids of a block's positions are read off in order. The blocks themselves move once,
+    compressed; nothing is held beyond a block or a bucket.
 
     Null and empty texts have no ids. Null and repeated doc_ids and repeated rows each keep their row.
     Only doc_id and text are read. An empty table gives an empty table.
     """
-    exploded = _exploded(docs, vocabulary, block_bytes)
+    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _exploded(docs, vocabulary.pattern, block_bytes)
+    codec_of = lambda: pa.Codec("zstd", 3)
+
+    def deal(table):
+        row = table.to_pylist()[0]
+        words, codec = _block_words(row), codec_of()
+        order, edges = _word_buckets(words, buckets)
+        out = []
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            part = [words[i] for i in order[edges[b]:edges[b + 1]].tolist()]
+            data = b"".join(part)
+            out.append((b, row["block"], len(part), _squeeze(np.fromiter(map(len, part), np.int64, len(part))),
+                        len(data), codec.compress(data, asbytes=True)))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        columns = list(zip(*out)) or [()] * 6
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
+                                    names=["bucket", "block", "n_words", "lengths", "n_bytes", "words"])
+
+    encoder: list = []  # made once a task
+
+    def encode_words(table):
+        if not encoder:
+            encoder.append(vocabulary.encoder())
+        merge, ids, number = encoder[0], [], {}
+        out = []
+        for row in table.to_pylist():
+            known = []
+            for word in _block_words(row):
+                k = number.get(word)
+                if k is None:
+                    k = number[word] = len(ids)
+                    ids.append(np.array(merge(word), np.uint32))
+                known.append(ids[k])
+            flat = np.concatenate(known)
+            out.append((row["bucket"], row["block"], len(known),
+                        _squeeze(np.fromiter(map(len, known), np.int64, len(known))), len(flat), _squeeze(flat)))
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
+                                    names=["bucket", "block", "n_words", "lengths", "n_ids", "ids"])
+
     schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
 
-    def assemble(table):
-        head = table.filter(table.column("positions").is_null())
-        doc_ids = pa.concat_arrays([c.flatten() for c in head.column("doc_ids").chunks])
-        counts = np.array(head.column("counts")[0].as_py(), np.int64)
-        rows = table.filter(table.column("positions").is_valid())
-        packed, bounds = _flat(rows.column("positions"))
-        ids, id_bounds = _flat(rows.column("ids"))
-        tokens, id_bounds = ids.view("<u4") if len(ids) else np.zeros(0, "<u4"), id_bounds // 4
-        steps, last = unpack_numbers(packed)
-        sizes = np.searchsorted(last, bounds[1:]) - np.searchsorted(last, bounds[:-1])
-        word = np.repeat(np.arange(len(sizes)), sizes)
-        summed = np.cumsum(steps)
-        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        before = (summed[begin] - steps[begin]) if len(sizes) else np.zeros(0, np.int64)
-        at = summed - np.repeat(before, sizes)
-        word_at = np.empty(len(at), np.int64)
-        word_at[at] = word
-        lengths = np.diff(id_bounds)
-        stream = tokens[ragged(id_bounds[:-1][word_at], lengths[word_at])]
-        ends = np.concatenate(([0], np.cumsum(lengths[word_at])))
+    def assemble(block_table, id_table):
+        row = block_table.to_pylist()[0]
+        head = pa.ipc.open_stream(row["docs"]).read_all()
+        counts = head.column("n").to_numpy()
+        words = _block_words(row)
+        order, edges = _word_buckets(words, buckets)
+        parts = sorted(id_table.to_pylist(), key=lambda r: r["bucket"])  # the order in which `deal` sent them
+        lengths, flat = np.zeros(len(words), np.int64), [np.zeros(0, np.int64)]
+        for part in parts:
+            b = part["bucket"]
+            lengths[order[edges[b]:edges[b + 1]]] = _expand(part["lengths"], part["n_words"])
+            flat.append(_expand(part["ids"], part["n_ids"]))
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        codes = _expand(row["codes"], row["n_codes"])
+        stream = np.concatenate(flat)[ragged(starts[codes], lengths[codes])]
+        ends = np.concatenate(([0], np.cumsum(lengths[codes])))
         cuts = ends[np.concatenate(([0], np.cumsum(counts)))]
+        doc_ids = pa.concat_arrays(head.column("doc_id").chunks)
         return pa.Table.from_arrays([doc_ids, binary_array(stream.astype("<u4").view(np.uint8), cuts * 4)],
                                     names=schema.names)
 
-    return _with_ids(exploded, vocabulary).groupBy("block").applyInArrow(assemble, schema)
+    dealt = blocks.groupBy("block").applyInArrow(
+        deal, "bucket int, block long, n_words long, lengths binary, n_bytes long, words binary")
+    known = dealt.groupBy("bucket").applyInArrow(
+        encode_words, "bucket int, block long, n_words long, lengths binary, n_ids long, ids binary")
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

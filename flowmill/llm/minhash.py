@@ -123,12 +123,12 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for want, text in zip(batch.column("want").to_pylist(), batch.column("text").to_pylist()):
                 shingles = shingle_hashes(text or "", width, known)
-                if len(shingles) and (key := _set_key(shingles)) in want:
+                if len(shingles) and (key := _set_key(shingles)) == want:
                     yield pa.RecordBatch.from_arrays([
                         pa.array([key], pa.binary()), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))],
                         names=schema.names)
 
-    nodes = wanted.groupBy(F.col("node").alias("of_node")).agg(F.collect_set("set_key").alias("want"))
+    nodes = wanted.select(F.col("node").alias("of_node"), F.col("set_key").alias("want"))
     held = docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("of_node")).select("want", "text")
     return held.mapInArrow(run, schema).dropDuplicates(["set_key"])
 

@@ -134,13 +134,11 @@ def drop_repeated_spans(docs: DataFrame, sentences_per_span: int = 2, min_words:
     def rewrite(batches):
         for batch in batches:
             kept, n_all, n_gone = [], [], []
-            starts = batch.column("starts").to_pylist()
-            stops = batch.column("stops").to_pylist()
-            for text, a, b in zip(batch.column("body").to_pylist(), starts, stops):
+            for text, marked in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist()):
                 units = sentences(text, max_sentence_words)
                 covered, rest = [], []
-                if a:
-                    pairs, k, reach = sorted(zip(a, b)), 0, 0
+                if marked:
+                    pairs, k, reach = sorted(tuple(map(int, p.split(":"))) for p in marked.split(",")), 0, 0
                     for u in units:
                         while k < len(pairs) and pairs[k][0] <= u[0]:
                             reach = max(reach, pairs[k][1])
@@ -153,7 +151,8 @@ def drop_repeated_spans(docs: DataFrame, sentences_per_span: int = 2, min_words:
                                               pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64())],
                                              names=out.names)
 
-    done = joined.select("row", "body", F.col("spans.start").alias("starts"),
-                         F.col("spans.stop").alias("stops")).mapInArrow(rewrite, out)
+    # Spans go to Python as text: list columns make Arrow batches slow to write.
+    marked = F.array_join(F.transform("spans", lambda p: F.concat_ws(":", p["start"], p["stop"])), ",")
+    done = joined.select("row", "body", marked.alias("spans")).mapInArrow(rewrite, out)
     return unfold(done, docs.columns, {"text": F.col("body"), "n_sentences": F.col("n_sentences"),
                                        "n_removed": F.col("n_removed")})
