@@ -171,7 +171,7 @@ def _word_buckets(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndar
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 8 << 20, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 4 << 20, buckets: int | None = None) -> DataFrame:
     """doc_id and `ids` (little-endian unsigned 32-bit token ids) of every whole text.
 
     Every task splits its documents into pre-tokens and explodes them by position, in blocks of about
