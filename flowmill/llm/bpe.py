@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -107,11 +108,14 @@ def _pieces(lengths: np.ndarray, data: bytes) -> list[bytes]:
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    return pa.Codec("zstd", 3).compress(values.astype("<u4").tobytes(), asbytes=True)
+    """Numbers below 2**32, first bytes first: the high bytes of small numbers are runs of zeros."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.Codec("zstd", 3).compress(planes.tobytes(), asbytes=True)
 
 
 def _expand(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), "<u4").astype(np.int64)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
 def _exploded(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
@@ -132,8 +136,13 @@ def _exploded(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
             words = [w.encode() for w in number]
+            codes = np.array(codes, np.int64)
+            frequent = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+            words = [words[i] for i in frequent.tolist()]  # frequent words get small numbers
+            rank = np.empty(len(words), np.int64)
+            rank[frequent] = np.arange(len(words))
             data = b"".join(words)
-            row = [base | done, sink.getvalue().to_pybytes(), len(codes), _squeeze(np.array(codes, np.int64)),
+            row = [base | done, sink.getvalue().to_pybytes(), len(codes), _squeeze(rank[codes]),
                    len(words), _squeeze(np.fromiter(map(len, words), np.int64, len(words))),
                    len(data), codec.compress(data, asbytes=True)]
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
@@ -257,7 +266,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, block_bytes: int = 4 << 20,
     return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(assemble, schema)
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: Vocabulary, slice_bytes: int = 2 << 20) -> DataFrame:
     """`encoded` with `decoded`, the bytes of its ids: an equi-join of ids with the token-byte table.
     The table has one row an id, bounded by the vocabulary, so it is held by every task as an array
     and joined by index. Null ids give null bytes; an id outside the table is an error."""
@@ -268,15 +277,21 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         data, bounds = vocabulary.token_bytes()
         sizes = np.diff(bounds)
         for batch in batches:
-            column = batch.column("ids")
-            flat, cuts = _flat(column.fill_null(b""))
-            ids = flat.view("<u4").astype(np.int64)
-            out = data[ragged(bounds[ids], sizes[ids])]
-            ends = np.concatenate(([0], np.cumsum(sizes[ids])))[cuts // 4]
-            decoded = binary_array(out, ends)
-            if column.null_count:
-                decoded = pa.array([None if n else d for n, d in zip(column.is_null().to_pylist(), decoded.to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], decoded], names=schema.names)
+            ends = np.cumsum(np.concatenate(([0], pc.fill_null(pc.binary_length(batch.column("ids")), 0).to_numpy())))
+            at = 0
+            while at < len(batch):  # a bounded part of the rows at a time; at least one
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + slice_bytes)) - 1)
+                part = batch.slice(at, to - at)
+                at = to
+                column = part.column("ids")
+                flat, cuts = _flat(column.fill_null(b""))
+                ids = flat.view("<u4").astype(np.int64)
+                lengths = sizes[ids]
+                decoded = binary_array(data[ragged(bounds[ids], lengths)],
+                                       np.concatenate(([0], np.cumsum(lengths)))[cuts // 4])
+                if column.null_count:
+                    decoded = pc.if_else(column.is_valid(), decoded, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], decoded], names=schema.names)
 
     return encoded.select(*columns).mapInArrow(run, schema)
 
