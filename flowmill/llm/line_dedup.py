@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowmill.llm.common import digest, keep_row, lower_ascii, strip_spaces, unfold
 
+# A shared line's occurrences meet its decision in so many partitions.
+SALTS = 16
+
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Documents without the lines that at least `min_docs` documents hold.
@@ -15,7 +18,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     Returns the columns of `docs` with `text` rewritten, and n_lines (before dropping) and n_dropped.
 
     Lines are exploded and hashed; the documents of a hash are counted in two steps (distinct pairs,
-    then hashes), so a line of every document is spread by document before it meets itself. Only
+    then hashes), so a line of every document is spread by document before it meets itself; the
+    decisions on shared lines are repeated SALTS times, so its occurrences are many tasks. Only
     (document, position) pairs of dropped lines go back to the texts, which are shuffled once.
 
     Null texts count as one empty line. Rows without doc_id count as one document, smaller than
@@ -34,7 +38,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     shared = (lines.groupBy("hash", "id").agg(F.lit(1).alias("one"))
               .groupBy("hash").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
               .where(F.col("n_docs") >= min_docs).select("hash", "keeper"))
-    dropped = (lines.join(shared, "hash").where(~F.col("id").eqNullSafe(F.col("keeper")))
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dropped = (lines.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+               .join(salted, ["hash", "salt"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
                .groupBy(F.col("id").alias("drop_id"), F.col("text_id").alias("drop_text"))
                .agg(F.collect_set("position").alias("positions")))
     joined = source.join(dropped, F.col("id").eqNullSafe(F.col("drop_id"))
