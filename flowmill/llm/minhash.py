@@ -86,7 +86,8 @@ def _set_key(shingles: np.ndarray) -> bytes:
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_key (16 bytes that stand for the set; null if empty) and band keys."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()),
-                           T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+                           T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
+                           T.StructField("brief", T.ArrayType(T.LongType()))])
 
     def run(batches):
         known = _WordHashes()
@@ -97,6 +98,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_hashes(t or "", width, known) for t in texts[at:at + 512]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
+                brief: list = [None] * len(sets)
                 if full:
                     cuts = np.cumsum([0] + [len(sets[i]) for i in full])
                     signed = signatures(np.concatenate([sets[i] for i in full]), cuts, BANDS * BAND_ROWS)
@@ -104,39 +106,66 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     keys = np.broadcast_to(number, (len(full), BANDS)).copy()
                     for k in range(BAND_ROWS):
                         keys = _finish(keys * MULTIPLIERS[41 + k] + rows[:, :, k])
-                    for i, row in zip(full, keys.view(np.int64)):
-                        bands[i] = row
+                    nibbles = (signed & np.uint32(15)).reshape(len(full), -1, 16).astype(np.uint64)
+                    packed = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
+                    for i, row, short in zip(full, keys.view(np.int64), packed.view(np.int64)):
+                        bands[i], brief[i] = row, short
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(at, 512), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
+                    pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _agreeing(a, b):
+    """Signature coordinates whose last four bits agree, of two packed signatures."""
+    def differing(x, y):
+        d = x.bitwiseXOR(y)
+        for bits in (1, 2):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, bits))
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return BANDS * BAND_ROWS - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda n, d: n + d)
+
+
+def least_agreeing(percent: int) -> int:
+    """Agreeing coordinates that a pair of the similarity reaches but for a chance of one in a million
+    (five standard deviations under its mean)."""
+    n, p = BANDS * BAND_ROWS, percent / 100 + (1 - percent / 100) / 16
+    return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_key, shingles) of the sets in `wanted` (node, set_key), made again from the texts."""
-    schema = T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """(node, shingles) of the sets in `wanted` (node, set_key), made again from the texts."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("set_key", T.BinaryType()),
+                           T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches):
         known = _WordHashes()
         for batch in batches:
-            for want, text in zip(batch.column("want").to_pylist(), batch.column("text").to_pylist()):
+            for node, want, text in zip(*(batch.column(c).to_pylist() for c in ("node", "want", "text"))):
                 shingles = shingle_hashes(text or "", width, known)
-                if len(shingles) and (key := _set_key(shingles)) == want:
+                if len(shingles) and _set_key(shingles) == want:
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([key], pa.binary()), pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))],
-                        names=schema.names)
+                        pa.array([node], pa.int64()), pa.array([want], pa.binary()),
+                        pa.array([shingles.view(np.int64)], pa.list_(pa.int64()))], names=schema.names)
+
+    nodes = wanted.select("node", F.col("set_key").alias("want"))
+    held = docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node")).select("node", "want", "text")
+    return held.mapInArrow(run, schema).dropDuplicates(["node", "set_key"]).select("node", "shingles")
+
 
-    nodes = wanted.select(F.col("node").alias("of_node"), F.col("set_key").alias("want"))
-    held = docs.select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("of_node")).select("want", "text")
-    return held.mapInArrow(run, schema).dropDuplicates(["set_key"])
+def _pairs(rows: DataFrame, x, x_n, y, y_n, percent: int) -> DataFrame:
+    """Ordered distinct pairs (a, b) of two node columns whose set sizes allow the similarity."""
+    possible = F.least(x_n, y_n) * 100 >= F.greatest(x_n, y_n) * percent
+    return rows.where((x != y) & possible).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose full sets are similar enough."""
-    left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("a_set"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("b_set"))
+    """The pairs (a, b) of nodes whose full sets are similar enough."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     return (pairs.join(left, "a").join(right, "b")
             .select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("sizes"))
@@ -150,64 +179,57 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component_id is the smallest doc_id reachable over links, and kept marks the row that has it.
 
     1. Circulant MinHash signatures; equal sets become one class, so copies never make pairs.
-    2. In each band bucket every class is paired with one class, the same for all bands where possible;
-       the pairs are confirmed on full sets, and links make components.
+    2. In every band bucket each class is paired with the bucket's head: first the class that shares
+       most places in buckets, which for near copies is the text they were copied from, then one drawn
+       at random for the band. The pairs are confirmed on full sets; links make components.
     3. Buckets that still hold several components: classes outside the bucket's largest component are
-       paired with all classes of other components, and confirmed; so no pair that shares a bucket is
-       left untested unless both are linked already. A group of near copies makes pairs in proportion
+       paired with the classes of other components whose signatures agree within five standard
+       deviations of the similarity, and confirmed; no likelier pair that shares a bucket is left
+       untested unless both are linked already. A group of near copies makes pairs in proportion
        to its size, as its members are in one component by then.
 
     Null and blank texts have an empty set, are linked with nothing and are kept. Rows without doc_id
     are linked with nothing; their component_id is null and they are kept. Rows of equal doc_id are
     one node: what one links to, the other does. Only doc_id and text are read. doc_id is an integer.
     """
-    base = docs.select("doc_id", "text")
+    base = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = cut_lineage(sketch(base, width))
     known = sketches.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
-                                           F.first("bands").alias("bands"))
-    buckets = classes.select("set_key", "node", "n", F.explode("bands").alias("band"))
-    head = F.min(F.struct(F.xxhash64("set_key").alias("order"), "set_key", "n"))
-    heads = (buckets.groupBy("band").agg(F.count("*").alias("members"), head.alias("head"))
-             .where(F.col("members") > 1).select("band", "head"))
-    shared = cut_lineage(buckets.join(heads, "band").select("band", "set_key", "node", "n", "head"))
-    sets = cut_lineage(_full_sets(base, shared.select("node", "set_key").distinct(), width))
-
-    def possible(m, n):
-        return F.least(m, n) * 100 >= F.greatest(m, n) * percent
-
-    def ordered(a, b):
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    tested = cut_lineage(shared.where((F.col("set_key") != F.col("head.set_key")) & possible(F.col("n"), F.col("head.n")))
-                         .select(*ordered(F.col("set_key"), F.col("head.set_key"))).distinct())
-    links = cut_lineage(_confirm(tested, sets, percent))
-    nodes = classes.select("set_key", "node")
-    same_id = known.select("doc_id", "set_key").distinct().join(nodes, "set_key").where(F.col("doc_id") != F.col("node"))
-
-    def joined(found):
-        """Links of nodes: confirmed ones, and each doc_id with the class of its set."""
-        a = nodes.select(F.col("set_key").alias("a"), F.col("node").alias("a_node"))
-        b = nodes.select(F.col("set_key").alias("b"), F.col("node").alias("b_node"))
-        return components(found.join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-                          .union(same_id.select("doc_id", "node")))
-
-    groups = joined(links)
-    placed = (shared.select("band", "set_key", "node", "n").join(groups, "node", "left")
-              .select("band", "set_key", "n", F.coalesce("component", "node").alias("component")))
-    placed = cut_lineage(placed)
+                                           F.first("bands").alias("bands"), F.first("brief").alias("brief"))
+    places = classes.select("node", "n", F.explode("bands").alias("band"))
+    crowds = places.groupBy("band").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)
+    shared = cut_lineage(places.join(crowds, "band"))
+    central = shared.groupBy("node").agg(F.sum("crowd").alias("central"))
+    wanted = classes.select("node", "set_key").join(central.select("node"), "node", "left_semi")
+    sets = cut_lineage(_full_sets(base, wanted, width))
+    same_id = (known.select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
+               .where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    none = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    tested, links, placed = none, none, shared.withColumn("component", F.col("node"))
+    for order in (F.struct("central", F.xxhash64("node")), F.struct(F.xxhash64("node", "band"))):
+        members = placed.join(central, "node")
+        heads = members.groupBy("band").agg(F.max_by(F.struct("node", "n", "component"), order).alias("head"))
+        far = members.join(heads, "band").where(F.col("component") != F.col("head.component"))
+        pairs = _pairs(far, F.col("node"), F.col("n"), F.col("head.node"), F.col("head.n"), percent)
+        pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
+        tested, links = tested.union(pairs), links.union(cut_lineage(_confirm(pairs, sets, percent)))
+        groups = components(links.union(same_id))
+        placed = cut_lineage(shared.join(groups, "node", "left").select(
+            *[shared[c] for c in shared.columns], F.coalesce("component", "node").alias("component")))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    largest = (sizes.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", F.col("component"))).alias("top"))
+    largest = (sizes.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "component")).alias("top"))
                .where(F.col("groups") > 1).select("band", F.col("top.component").alias("top")))
-    mixed = placed.join(largest, "band")
+    mixed = placed.join(largest, "band").join(classes.select("node", "brief"), "node")
     outside = mixed.where(F.col("component") != F.col("top")).select(
-        "band", F.col("set_key").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_component"))
-    more = (mixed.join(outside, "band")
-            .where((F.col("component") != F.col("x_component")) & possible(F.col("n"), F.col("x_n")))
-            .select(*ordered(F.col("set_key"), F.col("x"))).distinct().join(tested, ["a", "b"], "left_anti"))
-    late = cut_lineage(_confirm(more, sets, percent))
+        F.col("band").alias("x_band"), F.col("node").alias("x"), F.col("n").alias("x_n"),
+        F.col("brief").alias("x_brief"), F.col("component").alias("x_component"))
+    apart = mixed.join(outside, (F.col("band") == F.col("x_band")) & (F.col("component") != F.col("x_component"))
+                       & (_agreeing(F.col("brief"), F.col("x_brief")) >= least_agreeing(percent)))
+    more = _pairs(apart, F.col("node"), F.col("n"), F.col("x"), F.col("x_n"), percent)
+    late = cut_lineage(_confirm(more.join(tested, ["a", "b"], "left_anti"), sets, percent))
     if not late.isEmpty():
-        groups = joined(links.union(late))
+        groups = components(links.union(late).union(same_id))
     component = F.coalesce("component", "doc_id")
     return (sketches.join(groups, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
