@@ -118,15 +118,15 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _agreeing(a, b):
-    """Signature coordinates whose last four bits agree, of two packed signatures."""
-    def differing(x, y):
+def _agreeing(a: list, b: list):
+    """Signature coordinates whose last four bits agree, of two packed signatures (columns of longs)."""
+    total = F.lit(BANDS * BAND_ROWS)
+    for x, y in zip(a, b):
         d = x.bitwiseXOR(y)
         for bits in (1, 2):
             d = d.bitwiseOR(F.shiftrightunsigned(d, bits))
-        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-
-    return BANDS * BAND_ROWS - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda n, d: n + d)
+        total = total - F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
 
 
 def least_agreeing(percent: int) -> int:
@@ -220,12 +220,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
     largest = (sizes.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "component")).alias("top"))
                .where(F.col("groups") > 1).select("band", F.col("top.component").alias("top")))
-    mixed = placed.join(largest, "band").join(classes.select("node", "brief"), "node")
+    longs = BANDS * BAND_ROWS // 16
+    briefs = classes.select("node", *[F.get("brief", k).alias(f"s{k}") for k in range(longs)])
+    mixed = placed.join(largest, "band").join(briefs, "node")
     outside = mixed.where(F.col("component") != F.col("top")).select(
         F.col("band").alias("x_band"), F.col("node").alias("x"), F.col("n").alias("x_n"),
-        F.col("brief").alias("x_brief"), F.col("component").alias("x_component"))
+        F.col("component").alias("x_component"), *[F.col(f"s{k}").alias(f"x{k}") for k in range(longs)])
     apart = mixed.join(outside, (F.col("band") == F.col("x_band")) & (F.col("component") != F.col("x_component"))
-                       & (_agreeing(F.col("brief"), F.col("x_brief")) >= least_agreeing(percent)))
+                       & (_agreeing([F.col(f"s{k}") for k in range(longs)], [F.col(f"x{k}") for k in range(longs)])
+                          >= least_agreeing(percent)))
     more = _pairs(apart, F.col("node"), F.col("n"), F.col("x"), F.col("x_n"), percent)
     late = cut_lineage(_confirm(more.join(tested, ["a", "b"], "left_anti"), sets, percent))
     if not late.isEmpty():
