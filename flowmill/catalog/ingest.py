@@ -15,7 +15,6 @@ from flowmill.schema import (
 from flowmill.session import scratch_path
 from flowmill.sources import files as files_
 from flowmill.sources import readers
-from flowmill.sources.registry import inventory, registry_frame
 from flowmill.views import RAW_LABELS, RAW_NUMBERS, _pick, flow_sql, flow_view, raw_source, table
 
 # ------------------------------------------------------------ SQL pieces
@@ -257,13 +256,6 @@ def file_digests(spark, sf_dir):
     return files_.verify_digests(actual, expected.filter("name <> 'region.parquet'"))
 
 
-@query("dataset_inventory")
-def dataset_inventory(spark, sf_dir):
-    base, folder = sf_dir.rstrip("/").rsplit("/", 1)
-    registry = registry_frame(spark, [SourceConfig("given", local_dir=folder), SourceConfig("other", local_dir="none")])
-    return inventory(readers.file_table(spark, f"{base}/{folder}", recursive=True), registry)
-
-
 @query("text_gate")
 def text_gate(spark, sf_dir):
     """Parquet files are turned away, the same rows as CSV are let in."""

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowmill.functions.numeric import finite
 from flowmill.operators.quality import unpivot_numeric
 from flowmill.operators.split import sample_rows
 from flowmill.plans.ordered import running_totals
@@ -135,10 +136,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Each task folds its rows into d x d moment matrices (numpy on Arrow batches), so what
     is shuffled is one small matrix per task.  Values are centred on the column means
-    first to keep the sums of squares well conditioned.
+    first to keep the sums of squares well conditioned. Infinite cells count as missing.
     """
     columns = list(columns)
-    means = df.agg(*[F.avg(c).cast("double").alias(c) for c in columns]).first()
+    df = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
     centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
     d = len(columns)
     left, right = np.triu_indices(d)
@@ -155,7 +157,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         yield pd.DataFrame({"i": left, "j": right, "n": part[0], "sx": part[1], "sy": part[2],
                             "sxx": part[3], "syy": part[4], "sxy": part[5]})
 
-    parts = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(
+    parts = df.mapInPandas(
         fold, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
     names = ("n", "sx", "sy", "sxx", "syy", "sxy")
     sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])

@@ -103,7 +103,8 @@ def ingest_summary(df: DataFrame, k: int = 20) -> DataFrame:
     top = top_per_group(df, "dataset_source", "attack_category", k).select(
         "dataset_source", "attack_category", F.col("rows").alias("category_rows"), "rank"
     )
-    return totals.join(top, "dataset_source")
+    same = F.col("dataset_source").eqNullSafe(F.col("_source"))
+    return totals.join(top.withColumnRenamed("dataset_source", "_source"), same).drop("_source")
 
 
 # ------------------------------------------------------- filters and facets

@@ -64,20 +64,25 @@ def quotas(strata: DataFrame, fraction: float) -> DataFrame:
         "stratum", "n", (F.col("base") + (F.row_number().over(order) <= spare).cast("long")).alias("k"))
 
 
+# Stands for a missing label where strata are counted and joined.
+NO_LABEL = -1
+
+
 def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test: float = 0.15,
                      seed: int = 42, category: str = "attack_category", key: Column | None = None,
                      names: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """Add `split`: floor(train * n) rows of train, then the rest divided val : test.
 
     Each cut keeps stratum shares (rare categories are pooled by label, below 10 rows at
-    the first cut and below 4 at the second).  Rows must be distinct, as after dedup.
+    the first cut and below 4 at the second).  Rows must be distinct, as after dedup; rows without
+    label are a class of their own.
     """
     if round(train + val + test, 6) != 1.0:
         raise ValueError("split sizes must sum to 1")
     keyed = df.withColumn("_h", _digest(df, seed, key)).withColumn(
         "_c", F.coalesce(F.col(category).cast("string"), F.lit("Unknown")))
     # Three narrow columns carry all the counting; the wide table is read once, at the end.
-    narrow = cut_lineage(keyed.select(F.col("_c").alias("category"), F.col("label").cast("int").alias("label"), "_h"))
+    narrow = cut_lineage(keyed.select(F.col("_c").alias("category"), F.coalesce(F.col("label").cast("int"), F.lit(NO_LABEL)).alias("label"), "_h"))
 
     def cuts(rows: DataFrame, min_count: int, fraction: float) -> DataFrame:
         """(category, label, cut) leaving floor(fraction * rows) rows below their cuts."""
@@ -99,7 +104,7 @@ def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test
     side = (F.when(F.col("_h") < F.col("_cut1"), names[0])
             .when(F.col("_h") < F.col("_cut2"), names[1]).otherwise(names[2]))
     return (
-        keyed.withColumn("_y", F.col("label").cast("int")).join(name(first, "_cut1"), ["_c", "_y"])
+        keyed.withColumn("_y", F.coalesce(F.col("label").cast("int"), F.lit(NO_LABEL))).join(name(first, "_cut1"), ["_c", "_y"])
         .join(name(second, "_cut2"), ["_c", "_y"], "left")
         .withColumn("split", side).drop("_c", "_y", "_h", "_cut1", "_cut2"))
 
