@@ -11,6 +11,8 @@ from flowmill.session import cut_lineage
 
 # 32 bands of 4: two sets of similarity 0.8 share no band with a chance of 5e-8.
 BANDS, BAND_ROWS = 32, 4
+# Bits that hold the parities of a set's shingles.
+PARITIES = 1024
 MULTIPLIERS = np.random.default_rng(20_240_531).integers(1, 2 ** 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -86,8 +88,7 @@ def _set_key(shingles: np.ndarray) -> bytes:
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_key (16 bytes that stand for the set; null if empty) and band keys."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()),
-                           T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
-                           T.StructField("brief", T.ArrayType(T.LongType()))])
+                           T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         known = _WordHashes()
@@ -98,7 +99,6 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_hashes(t or "", width, known) for t in texts[at:at + 512]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands: list = [None] * len(sets)
-                brief: list = [None] * len(sets)
                 if full:
                     cuts = np.cumsum([0] + [len(sets[i]) for i in full])
                     signed = signatures(np.concatenate([sets[i] for i in full]), cuts, BANDS * BAND_ROWS)
@@ -106,18 +106,52 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     keys = np.broadcast_to(number, (len(full), BANDS)).copy()
                     for k in range(BAND_ROWS):
                         keys = _finish(keys * MULTIPLIERS[41 + k] + rows[:, :, k])
-                    nibbles = (signed & np.uint32(15)).reshape(len(full), -1, 16).astype(np.uint64)
-                    packed = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64)
-                    for i, row, short in zip(full, keys.view(np.int64), packed.view(np.int64)):
-                        bands[i], brief[i] = row, short
+                    for i, row in zip(full, keys.view(np.int64)):
+                        bands[i] = row
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(at, 512), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())), pa.array(brief, pa.list_(pa.int64()))], names=schema.names)
+                    pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def briefs(sets: DataFrame) -> DataFrame:
+    """node and what tells two sets apart without their shingles: s0, s1, ... hold the last four bits of
+    the signature's coordinates, p0, p1, ... whether odd or even counts of shingles fall on each of
+    PARITIES places."""
+    signed, parities = BANDS * BAND_ROWS // 16, PARITIES // 64
+    names = [f"s{k}" for k in range(signed)] + [f"p{k}" for k in range(parities)]
+    schema = T.StructType([sets.schema["node"], *[T.StructField(c, T.LongType()) for c in names]])
+
+    def run(batches):
+        places = np.arange(16, dtype=np.uint64) * np.uint64(4)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                found = [np.array(x, np.int64).view(np.uint64) for x in part.column("shingles").to_pylist()]
+                cuts = np.cumsum([0] + [len(x) for x in found])
+                low = signatures(np.concatenate(found), cuts, BANDS * BAND_ROWS) & np.uint32(15)
+                packed = (low.reshape(len(found), -1, 16).astype(np.uint64) << places).sum(2, dtype=np.uint64)
+                odd = np.stack([np.packbits((np.bincount((_finish(x * MULTIPLIERS[9]) >> np.uint64(32)).astype(np.int64)
+                                                         % PARITIES, minlength=PARITIES) & 1).astype(np.uint8))
+                                for x in found]).view(np.int64)
+                columns = [*packed.view(np.int64).T, *odd.T]
+                yield pa.RecordBatch.from_arrays([part.column("node"), *[pa.array(c, pa.int64()) for c in columns]],
+                                                 names=schema.names)
+
+    return sets.select("node", "shingles").mapInArrow(run, schema)
+
+
+def _least_difference(a: list, b: list):
+    """A lower bound, never above the truth, of the shingles that only one of two sets has: places
+    whose parities differ (columns of longs)."""
+    total = F.lit(0)
+    for x, y in zip(a, b):
+        total = total + F.bit_count(x.bitwiseXOR(y))
+    return total
+
+
 def _agreeing(a: list, b: list):
     """Signature coordinates whose last four bits agree, of two packed signatures (columns of longs)."""
     total = F.lit(BANDS * BAND_ROWS)
@@ -183,10 +217,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        most places in buckets, which for near copies is the text they were copied from, then one drawn
        at random for the band. The pairs are confirmed on full sets; links make components.
     3. Buckets that still hold several components: classes outside the bucket's largest component are
-       paired with the classes of other components whose signatures agree within five standard
-       deviations of the similarity, and confirmed; no likelier pair that shares a bucket is left
-       untested unless both are linked already. A group of near copies makes pairs in proportion
-       to its size, as its members are in one component by then.
+       held against the classes of other components. Pairs go that cannot be similar, as the parities of
+       their shingles differ in more places than two such sets have shingles of their own, or whose
+       signatures agree five standard deviations less than at the similarity; the others are confirmed.
+       No likelier pair that shares a bucket is left untested unless both are linked already.
 
     Null and blank texts have an empty set, are linked with nothing and are kept. Rows without doc_id
     are linked with nothing; their component_id is null and they are kept. Rows of equal doc_id are
@@ -196,7 +230,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketches = cut_lineage(sketch(base, width))
     known = sketches.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
-                                           F.first("bands").alias("bands"), F.first("brief").alias("brief"))
+                                           F.first("bands").alias("bands"))
     places = classes.select("node", "n", F.explode("bands").alias("band"))
     crowds = places.groupBy("band").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1)
     shared = cut_lineage(places.join(crowds, "band"))
@@ -220,16 +254,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
     largest = (sizes.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "component")).alias("top"))
                .where(F.col("groups") > 1).select("band", F.col("top.component").alias("top")))
-    longs = BANDS * BAND_ROWS // 16
-    briefs = classes.select("node", *[F.get("brief", k).alias(f"s{k}") for k in range(longs)])
-    mixed = placed.join(largest, "band").join(briefs, "node")
+    mixed = placed.join(largest, "band")
+    told = cut_lineage(briefs(sets.join(mixed.select("node"), "node", "left_semi")))
+    signed, parities = ([c for c in told.columns if c[0] == kind] for kind in "sp")
+    mixed = mixed.join(told, "node")
     outside = mixed.where(F.col("component") != F.col("top")).select(
-        F.col("band").alias("x_band"), F.col("node").alias("x"), F.col("n").alias("x_n"),
-        F.col("component").alias("x_component"), *[F.col(f"s{k}").alias(f"x{k}") for k in range(longs)])
+        F.col("band").alias("x_band"), *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "component", *signed, *parities)])
+    sides = lambda names: ([F.col(c) for c in names], [F.col(f"x_{c}") for c in names])
     apart = mixed.join(outside, (F.col("band") == F.col("x_band")) & (F.col("component") != F.col("x_component"))
-                       & (_agreeing([F.col(f"s{k}") for k in range(longs)], [F.col(f"x{k}") for k in range(longs)])
-                          >= least_agreeing(percent)))
-    more = _pairs(apart, F.col("node"), F.col("n"), F.col("x"), F.col("x_n"), percent)
+                       & (_least_difference(*sides(parities)) * (100 + percent)
+                          <= (F.col("n") + F.col("x_n")) * (100 - percent))
+                       & (_agreeing(*sides(signed)) >= least_agreeing(percent)))
+    more = _pairs(apart, F.col("node"), F.col("n"), F.col("x_node"), F.col("x_n"), percent)
     late = cut_lineage(_confirm(more.join(tested, ["a", "b"], "left_anti"), sets, percent))
     if not late.isEmpty():
         groups = components(links.union(late).union(same_id))
