@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component_id is the smallest doc_id reachable over links, and kept marks the row that has it.
 
     1. Circulant MinHash signatures; equal sets become one class, so copies never make pairs.
-    2. In every band bucket each class is paired with the bucket's head: first the class that shares
-       most places in buckets, which for near copies is the text they were copied from, then one drawn
-       at random for the band. The pairs are confirmed on full sets; links make components.
+    2. In every band bucket each class is paired with the bucket's head, the class that shares most places
+       in buckets, which for near copies is the text they were copied from. The pairs are confirmed on
+       full sets; links make components.
     3. Buckets that still hold several components: classes outside the bucket's largest component are
        held against the classes of other components. Pairs go that cannot be similar, as the parities of
        their shingles differ in more places than two such sets have shingles of their own, or whose
@@ -239,18 +239,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = cut_lineage(_full_sets(base, wanted, width))
     same_id = (known.select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
                .where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    none = shared.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    tested, links, placed = none, none, shared.withColumn("component", F.col("node"))
-    for order in (F.struct("central", F.xxhash64("node")), F.struct(F.xxhash64("node", "band"))):
-        members = placed.join(central, "node")
-        heads = members.groupBy("band").agg(F.max_by(F.struct("node", "n", "component"), order).alias("head"))
-        far = members.join(heads, "band").where(F.col("component") != F.col("head.component"))
-        pairs = _pairs(far, F.col("node"), F.col("n"), F.col("head.node"), F.col("head.n"), percent)
-        pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested, links = tested.union(pairs), links.union(cut_lineage(_confirm(pairs, sets, percent)))
-        groups = components(links.union(same_id))
-        placed = cut_lineage(shared.join(groups, "node", "left").select(
-            *[shared[c] for c in shared.columns], F.coalesce("component", "node").alias("component")))
+    heads = (shared.join(central, "node").groupBy("band")
+             .agg(F.max_by(F.struct("node", "n"), F.struct("central", F.xxhash64("node"))).alias("head")))
+    tested = cut_lineage(_pairs(shared.join(heads, "band"), F.col("node"), F.col("n"), F.col("head.node"),
+                                F.col("head.n"), percent))
+    links = _confirm(tested, sets, percent).union(same_id)
+    groups = components(links)
+    placed = cut_lineage(shared.join(groups, "node", "left").select(
+        *[shared[c] for c in shared.columns], F.coalesce("component", "node").alias("component")))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
     largest = (sizes.groupBy("band").agg(F.count("*").alias("groups"), F.max(F.struct("size", "component")).alias("top"))
                .where(F.col("groups") > 1).select("band", F.col("top.component").alias("top")))
@@ -268,7 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = _pairs(apart, F.col("node"), F.col("n"), F.col("x_node"), F.col("x_n"), percent)
     late = cut_lineage(_confirm(more.join(tested, ["a", "b"], "left_anti"), sets, percent))
     if not late.isEmpty():
-        groups = components(links.union(late).union(same_id))
+        groups = components(groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(late))
     component = F.coalesce("component", "doc_id")
     return (sketches.join(groups, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", "n_shingles", component.alias("component_id"),
