@@ -44,9 +44,12 @@ def throttle(events: DataFrame, key: str, ts: str, tie: str, limit: int = LIMIT,
     of busier bins are decided in sequence, each run starting from the (fully accepted)
     quiet bin before it; so one busy key splits into its separate bursts, and a burst
     streams through its task in sorted batches with a window of times as its only state.
+
+    Events without key or time belong to no window: they are accepted and counted for none.
     """
     window = int(window_seconds * SECOND)
-    timed = events.withColumn("_t", micros(events, ts))
+    placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    timed = events.where(placed).withColumn("_t", micros(events, ts))
     timed = timed.withColumn("_bin", F.floor(F.col("_t") / window))
 
     counts = timed.groupBy(key, "_bin").agg(F.count("*").alias("_n"))
@@ -87,7 +90,8 @@ def throttle(events: DataFrame, key: str, ts: str, tie: str, limit: int = LIMIT,
             yield out[~batch["_lead_in"].to_numpy(dtype=bool)]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-    return quiet.unionByName(busy.mapInPandas(decide, f"{fields}, accepted boolean"))
+    loose = events.where(~placed).select(*columns, F.lit(True).alias("accepted"))
+    return quiet.unionByName(busy.mapInPandas(decide, f"{fields}, accepted boolean")).union(loose)
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int = LIMIT,

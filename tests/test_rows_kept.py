@@ -1,7 +1,10 @@
 """No row is lost for a missing key or an infinite cell."""
 
+from pyspark.sql import functions as F
+
 from flowmill.operators import compare, quality, split
 from flowmill.sources import audit
+from flowmill.streaming.throttle import throttle
 
 
 def test_split_keeps_rows_without_label(spark):
@@ -20,3 +23,10 @@ def test_infinite_cells_are_missing_to_correlation(spark):
 def test_audit_tail_gives_as_many_as_asked(spark):
     log = spark.range(2000).selectExpr("id AS ts", "'/api/x' AS path")
     assert audit.audit_tail(log, 1200).count() == 1200
+
+
+def test_throttle_keeps_events_without_key_or_time(spark):
+    rows = [(1, "a", 1.0), (2, None, 1.0), (3, "a", None), (4, "a", 1.5), (5, None, None)]
+    df = spark.createDataFrame(rows, "id long, who string, ts double").withColumn("ts", F.timestamp_seconds("ts"))
+    got = {r.id: r.accepted for r in throttle(df, "who", "ts", "id", limit=1, window_seconds=10).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
