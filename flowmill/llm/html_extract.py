@@ -31,6 +31,10 @@ REPLIES = frozenset("comment comments reply replies".split())
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
              "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"])}
+# Containers of articles; headings; and elements that only group blocks of what they stand in.
+CONTAINERS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+GROUPS = frozenset("ul ol dl li table thead tbody tfoot tr section header hgroup blockquote figure details".split())
 SCOPE = frozenset(["table", "td", "th", "ul", "ol", "dl", "article", "main", "section", "body", "html", "div"])
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 TAG = re.compile(r"/?[a-zA-Z][^\s/>]*")
@@ -67,19 +71,21 @@ def _surrounds(tag: str, marks: set[str], attributes: str) -> bool:
     return not words.isdisjoint(marks) or HIDDEN.search(attributes) is not None
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
-    """(tag path, raw text, dropped) of every block of text, in page order."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label in the path, dropped
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
+    """(tag path, raw text, characters in links, dropped) of every block of text, in page order."""
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, label in the path, dropped, in a link
     text: list[str] = []
+    links: list[str] = []
     last = {q: page.rfind(q) for q in "\"'"}
     lowered = None
     at, size = 0, len(page)
 
     def flush():
-        joined = "".join(text)
+        joined, linked = "".join(text), sum(len(" ".join(html.unescape(t).split())) for t in links)
         text.clear()
-        path = tuple(label for tag, label, _ in stack if tag in BLOCK)
-        return (path, joined, bool(stack) and stack[-1][2]) if joined and not joined.isspace() else None
+        links.clear()
+        path = tuple(label for tag, label, _, _ in stack if tag in BLOCK)
+        return (path, joined, linked, bool(stack) and stack[-1][2]) if joined and not joined.isspace() else None
 
     while at < size:
         opening = page.find("<", at)
@@ -87,6 +93,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
             text.append(page[at:])
             break
         text.append(page[at:opening])
+        if stack and stack[-1][3]:
+            links.append(text[-1])
         if page.startswith("<!--", opening):
             end = page.find("-->", opening + 4)
             at = size if end < 0 else end + 3
@@ -110,7 +118,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
                 yield found
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if found := flush() if any(t in BLOCK or d for t, _, d in stack[i:]) else None:
+                    if found := flush() if any(t in BLOCK or d for t, _, d, _ in stack[i:]) else None:
                         yield found
                     del stack[i:]
                     break
@@ -132,7 +140,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
                     break
         marks = " ".join(v for _, v in ATTRIBUTE.findall(attributes)).lower() if attributes else ""
         dropped = (bool(stack) and stack[-1][2] or tag in DROPPED
-                   or tag == "header" and not any(t in ("article", "main") for t, _, _ in stack)
+                   or tag == "header" and not any(t in CONTAINERS for t, *_ in stack)
                    or bool(attributes) and _surrounds(tag, set(WORD.findall(marks)), attributes))
         if tag in RAW:
             if lowered is None:
@@ -147,7 +155,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
             continue
         if dropped and not (stack and stack[-1][2]) and tag not in BLOCK and (found := flush()):
             yield found  # an inline advert inside a block ends the run of text before it
-        stack.append((tag, f"{tag}.{'.'.join(sorted(set(WORD.findall(marks))))}" if marks else tag, dropped))
+        stack.append((tag, f"{tag}.{'.'.join(sorted(set(WORD.findall(marks))))}" if marks else tag, dropped,
+                      bool(stack) and stack[-1][3] or tag == "a" and "href" in attributes.lower()))
     if found := flush():
         yield found
 
@@ -155,29 +164,30 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
 def content(page: str, threshold: float = 0.3, window: int = 2) -> list[str]:
     """The article's blocks: those on tag paths whose fused, smoothed ratios pass the threshold.
 
-    For every root-to-leaf path, text ratio = characters per block and punctuation ratio = marks per
-    block (plus one, so headings count). Both are smoothed along the page: a block takes the mean of
-    its path's value and of its neighbours' within the same container, up to `window` blocks away. The
-    fused score is the product of their logarithms; paths are kept whose mean score reaches
-    `threshold` times the page's text-weighted mean. Container elements (article, main) of the
-    strongest path bound the result if there are any; a path that has the same container and parent
-    as a kept one is content too, so short headings stay with their paragraphs.
+    For every root-to-leaf path, text ratio = characters outside links per block and punctuation ratio =
+    marks per block (plus one, so headings count). Both are smoothed along the page: a block takes the
+    mean of its path's value and of its neighbours' within the same container, up to `window` blocks
+    away. The fused score is the product of their logarithms; paths are kept whose mean score reaches
+    `threshold` times the page's text-weighted mean. If the strongest path lies in a container (article,
+    main), only paths in containers are content. What stands beside a kept path is content too, so short
+    headings and items stay with their paragraphs: text of the same parent, lists, tables and sections
+    looked through, unless over half of a block's characters are links and it is no heading.
     """
     found = []
-    for path, raw, dropped in blocks(page):
+    for path, raw, linked, dropped in blocks(page):
         if not dropped and (text := " ".join(html.unescape(raw).split())):
-            found.append((path, text))
+            found.append((path, text, min(linked, len(text))))
     if not found:
         return []
     paths: dict[tuple[str, ...], list[float]] = {}
-    for path, text in found:
+    for path, text, linked in found:
         entry = paths.setdefault(path, [0.0, 0.0, 0.0])
         entry[0] += 1
-        entry[1] += len(text)
+        entry[1] += len(text) - linked
         entry[2] += len(PUNCTUATION.findall(text)) + 1
-    own = [(paths[p][1] / paths[p][0], paths[p][2] / paths[p][0]) for p, _ in found]
+    own = [(paths[p][1] / paths[p][0], paths[p][2] / paths[p][0]) for p, _, _ in found]
     total: dict[tuple[str, ...], list[float]] = {}
-    for i, (path, text) in enumerate(found):
+    for i, (path, text, linked) in enumerate(found):
         near = [own[j] for j in range(max(0, i - window), min(len(found), i + window + 1))
                 if found[j][0][:-1] == path[:-1]]
         length, marks = (sum(v[k] for v in near) / len(near) for k in (0, 1))
@@ -185,17 +195,26 @@ def content(page: str, threshold: float = 0.3, window: int = 2) -> list[str]:
         entry = total.setdefault(path, [0.0, 0.0, 0.0])
         entry[0] += score
         entry[1] += 1
-        entry[2] += len(text)
+        entry[2] += len(text) - linked
     scores = {p: s / n for p, (s, n, _) in total.items()}
-    mean = sum(scores[p] * size for p, (_, _, size) in total.items()) / sum(v[2] for v in total.values())
+    mean = sum(scores[p] * size for p, (_, _, size) in total.items()) / max(1, sum(v[2] for v in total.values()))
     kept = {p for p, s in scores.items() if s >= threshold * mean}
     best = max(kept, key=lambda p: (total[p][2] * scores[p], p))
-    root = next((i + 1 for i, label in enumerate(best) if label.split(".")[0] in ("article", "main")), 0)
-    bounded = [(p, t) for p, t in found if p[:root] == best[:root]]
-    if root:  # inside a marked article nothing else competes: all its remaining paths are content
-        return [t for _, t in bounded]
+    tags = {p: [label.split(".")[0] for label in p] for p in paths}
+    contained = {p for p in paths if any(t in CONTAINERS for t in tags[p])}
+    if best in contained:
+        kept &= contained
     parents = {p[:-1] for p in kept}
-    return [t for p, t in bounded if p in kept or p[:-1] in parents]
+
+    def beside(path: tuple[str, ...]) -> bool:
+        up = len(path) - 1
+        while up > 0 and path[:up] not in parents and tags[path][up - 1] in GROUPS:
+            up -= 1
+        return path in parents or path[:up] in parents
+
+    near_kept = {p for p in (contained if best in contained else paths) if beside(p)}
+    return [t for p, t, linked in found if p in kept or p in near_kept and (
+        linked <= len(t) / 2 or not HEADINGS.isdisjoint(tags[p][-1:]))]
 
 
 def extract(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
