@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,14 +20,18 @@ search section summary table tbody td tfoot th thead tr ul""".split())
 # Elements whose text is never the article's.
 DROPPED = frozenset("""head nav footer aside form script style noscript template iframe object embed svg canvas audio
 video button select textarea input label menu dialog title noembed noframes xmp fieldset datalist map""".split())
-# Words of class, id and role that mark what surrounds an article.
+# Values of class, id and role (whole ones, between spaces) that mark what surrounds an article.
 MARKED = frozenset("""ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promos
 promotion nav navbar navigation navi menu menus breadcrumb breadcrumbs header masthead topbar footer foot bottombar
 sidebar sidebars side aside rail widget widgets comment comments commentlist reply replies respond discussion disqus
 cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup
 login share sharing social related recommended recommendations trending toc pagination pager search copyright
 complementary contentinfo toolbar skip""".split())
-REPLIES = frozenset("comment comments reply replies".split())
+REPLIES = frozenset("comment comments commentlist reply replies respond disqus".split())
+# The marks that count on a paragraph, whose class may say how it looks or what it is about.
+ADVERTS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promos promotion""".split())
+# A marked element with a larger share of the page's text is no surrounding of it.
+MOST_MARKED = 0.5
 # An open element of the first kind ends when one of the second begins.
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
@@ -63,17 +68,25 @@ def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
         at = page.find(quote, first + 1) + 1
 
 
-def _surrounds(tag: str, marks: set[str], attributes: str) -> bool:
-    """Whether attributes mark an element as hidden or as something around the article."""
-    if tag in ("html", "body", "main"):
-        return False
-    words = REPLIES if tag == "article" else MARKED
-    return not words.isdisjoint(marks) or HIDDEN.search(attributes) is not None
+def _mark(tag: str, found: list[tuple[str, str]], inside: bool) -> str | None:
+    """The first value that marks an element as something around the article, if any. Ids of sections
+    and whatever headings have name their subject inside an article."""
+    if tag in ("html", "body", "main") or inside and tag in HEADINGS:
+        return None
+    words = REPLIES if tag == "article" else ADVERTS if inside and tag == "p" else MARKED
+    for name, values in found:
+        if inside and tag == "section" and name.lower() == "id":
+            continue
+        for value in values.strip("\"'").lower().split():
+            if value in words:
+                return value
+    return None
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
-    """(tag path, raw text, characters in links, dropped) of every block of text, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label in the path, dropped, in a link
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, tuple[tuple[int, str, bool], ...]]]:
+    """(tag path, raw text, characters in links, marks) of every block of text that is not dropped, in
+    page order; marks are the (position, value, inside a container) of the marked elements around it."""
+    stack: list[tuple[str, str, tuple | None, bool]] = []  # tag, label in the path, marks (None: dropped), in a link
     text: list[str] = []
     links: list[str] = []
     last = {q: page.rfind(q) for q in "\"'"}
@@ -85,7 +98,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
         text.clear()
         links.clear()
         path = tuple(label for tag, label, _, _ in stack if tag in BLOCK)
-        return (path, joined, linked, bool(stack) and stack[-1][2]) if joined and not joined.isspace() else None
+        marked = stack[-1][2] if stack else ()
+        return (path, joined, linked, marked) if joined and not joined.isspace() and marked is not None else None
 
     while at < size:
         opening = page.find("<", at)
@@ -118,7 +132,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
                 yield found
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if found := flush() if any(t in BLOCK or d for t, _, d, _ in stack[i:]) else None:
+                    around = stack[i - 1][2] if i else ()
+                    if any(t in BLOCK or d != around for t, _, d, _ in stack[i:]) and (found := flush()):
                         yield found
                     del stack[i:]
                     break
@@ -138,10 +153,15 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
                     break
                 if stack[i][0] in SCOPE:
                     break
-        marks = " ".join(v for _, v in ATTRIBUTE.findall(attributes)).lower() if attributes else ""
-        dropped = (bool(stack) and stack[-1][2] or tag in DROPPED
-                   or tag == "header" and not any(t in CONTAINERS for t, *_ in stack)
-                   or bool(attributes) and _surrounds(tag, set(WORD.findall(marks)), attributes))
+        given = ATTRIBUTE.findall(attributes) if attributes else []
+        marks = " ".join(v for _, v in given).lower()
+        inside = any(t in CONTAINERS for t, *_ in stack)
+        around = own = stack[-1][2] if stack else ()
+        if tag in DROPPED or tag == "header" and not inside or attributes and tag not in ("html", "body", "main") and HIDDEN.search(
+                attributes):
+            own = None
+        elif own is not None and given and (mark := _mark(tag, given, inside)):
+            own = (*own, (opening, mark, inside))
         if tag in RAW:
             if lowered is None:
                 lowered = page.lower() if page.isascii() else re.sub("[A-Z]", lambda m: m.group().lower(), page)
@@ -153,9 +173,9 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
             continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
-        if dropped and not (stack and stack[-1][2]) and tag not in BLOCK and (found := flush()):
+        if own != around and tag not in BLOCK and (found := flush()):
             yield found  # an inline advert inside a block ends the run of text before it
-        stack.append((tag, f"{tag}.{'.'.join(sorted(set(WORD.findall(marks))))}" if marks else tag, dropped,
+        stack.append((tag, f"{tag}.{'.'.join(sorted(set(WORD.findall(marks))))}" if marks else tag, own if around is not None else None,
                       bool(stack) and stack[-1][3] or tag == "a" and "href" in attributes.lower()))
     if found := flush():
         yield found
@@ -164,6 +184,9 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, bool]]:
 def content(page: str, threshold: float = 0.3, window: int = 2) -> list[str]:
     """The article's blocks: those on tag paths whose fused, smoothed ratios pass the threshold.
 
+    Marked elements (MARKED) are left out first, unless nothing else is left, or one holds over MOST_MARKED
+    of the page's text, is not marked as replies or advert, and does not stand outside of an unmarked container.
+
     For every root-to-leaf path, text ratio = characters outside links per block and punctuation ratio =
     marks per block (plus one, so headings count). Both are smoothed along the page: a block takes the
     mean of its path's value and of its neighbours' within the same container, up to `window` blocks
@@ -173,12 +196,19 @@ def content(page: str, threshold: float = 0.3, window: int = 2) -> list[str]:
     headings and items stay with their paragraphs: text of the same parent, lists, tables and sections
     looked through, unless over half of a block's characters are links and it is no heading.
     """
-    found = []
-    for path, raw, linked, dropped in blocks(page):
-        if not dropped and (text := " ".join(html.unescape(raw).split())):
-            found.append((path, text, min(linked, len(text))))
-    if not found:
+    read, held = [], Counter()
+    for path, raw, linked, marked in blocks(page):
+        if text := " ".join(html.unescape(raw).split()):
+            read.append((path, text, min(linked, len(text)), marked))
+            for mark in marked:
+                held[mark] += len(text)
+    if not read:
         return []
+    most = MOST_MARKED * sum(len(r[1]) for r in read)
+    plain = any(not marked and any(label.split(".")[0] in CONTAINERS for label in path) for path, _, _, marked in read)
+    dropped = {m for m, size in held.items()
+               if size <= most or m[1] in REPLIES or m[1] in ADVERTS or plain and not m[2]}
+    found = [r[:3] for r in read if dropped.isdisjoint(r[3])] or [r[:3] for r in read]
     paths: dict[tuple[str, ...], list[float]] = {}
     for path, text, linked in found:
         entry = paths.setdefault(path, [0.0, 0.0, 0.0])

@@ -18,3 +18,21 @@ def test_each_container_is_read():
             f"<div class='b'><article><h1>Two</h1><p>{LONG}</p></article></div><p>Text outside.</p></body>")
     assert html_extract.content(page) == ["One", LONG, "Two", LONG]
     assert html_extract.content("<article><p><a href='/'>All of it is a link</a></p></article>") == ["All of it is a link"]
+
+
+def test_one_word_of_a_class_does_not_drop_the_article():
+    article = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = ["Title", LONG, LONG]
+    for around in ("<div class='layout has-sidebar'><article>{}</article></div>", "<div class='no-sidebar'><article>{}</article></div>",
+                   "<article class='post no-comments'>{}</article>", "<div class='wrap sidebar'><div>{}</div></div>",
+                   "<article>{}<div class='comments'><p>Nice post, thanks!</p></div><span class='ad'>Buy!</span></article>",
+                   "<div class='sidebar'><p>Side text, with marks.</p></div><article>{}</article>",
+                   "<div class='ad'><p>" + 9 * LONG + "</p></div><article>{}</article>",
+                   "<div class='sidebar'><p>" + 9 * LONG + "</p></div><article>{}</article>",
+                   "<article>{}<div class='ad'><p>" + 9 * LONG + "</p></div></article>",
+                   "<article>{}<div hidden><p>Unseen.</p></div></article>"):
+        assert html_extract.content(around.format(article)) == want, around
+    inner = (f"<article><div class='entry-header'><h2 id='discussion'>Discussion</h2><p>{LONG}</p></div>"
+             f"<section id='related'><h2 class='notice'>Related work</h2><p>{LONG}</p></section>"
+             f"<section id='related-work'><p>{LONG}</p></section><p class='side'>{LONG}</p><p class='ad'>Buy, now!</p></article>")
+    assert html_extract.content(inner) == ["Discussion", LONG, "Related work", LONG, LONG, LONG]
