@@ -11,8 +11,9 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # shorter runs are dropped anyway
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
-# What the tests look at: unbroken runs of characters that encodings of random bytes use.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+# What the tests look at: unbroken runs of characters that encodings of random bytes use, and their
+# padding. A '=' elsewhere ends a run, so the value behind a name and '=' is a run of its own.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ["assign", "access", "hex", "random"]
 # Pre-filters: a text or run without a match here has none above either.
 ANY = r"(?i:password|passwd|secret|token|api_?key)[\"' ]{0,2}\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|" + CANDIDATE
