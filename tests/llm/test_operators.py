@@ -244,6 +244,6 @@ def test_quality_separates_held_out_documents(spark, sf):
 
 @pytest.mark.parametrize("name", [q for q in queries.QUERIES if q.startswith("op") and not q.startswith("op1_")])
 def test_empty_tables(spark, sf, tmp_path, name):
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
