@@ -22,8 +22,9 @@ MAX_WORDS = 1 << 16
 MAX_WORD_BYTES = 48
 # Tokenizer files beyond this size are refused: the file goes to every task.
 MAX_TOKENIZER_BYTES = 64 << 20
-# Words that a task remembers once merged.
+# Words that a task remembers once merged, and those merged in one call: the library's results are large.
 REMEMBERED = 200_000
+MERGED_AT_ONCE = 1000
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,11 @@ class WordTokenizer:
         tokenizer.no_padding()
 
         def merge(words: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            ids = []
+            for at in range(0, len(words), MERGED_AT_ONCE):
+                part = [w.decode() for w in words[at:at + MERGED_AT_ONCE]]
+                ids += [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            return ids
 
         return merge
 
@@ -182,7 +187,7 @@ class Lexicon:
         return known, numbers, self.pool[ragged(at[order], count[order])]
 
 
-def frequent_words(docs: DataFrame, most: int = MAX_WORDS, hold: int = 500_000) -> list[bytes]:
+def frequent_words(docs: DataFrame, most: int = MAX_WORDS, hold: int = 300_000) -> list[bytes]:
     """The most frequent words that occur twice at least, in ascending order of bytes. Tasks count before the shuffle
     and hold `hold` different words; the driver gets at most `most` words of MAX_WORD_BYTES."""
 
@@ -221,7 +226,7 @@ def publish(spark: SparkSession, held: np.ndarray) -> str:
     return name
 
 
-def encode(docs: DataFrame, tokenizer: WordTokenizer, most_words: int = MAX_WORDS, block_bytes: int = 4 << 20) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: WordTokenizer, most_words: int = MAX_WORDS, block_bytes: int = 2 << 20) -> DataFrame:
     """doc_id and `ids` (little-endian unsigned 32-bit token ids) of every whole text.
 
     Words are runs without white space `[\\x20\\x09-\\x0D]`; the tokenizer never looks across that, so a text's
