@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowmill.llm.batches import slices
 from flowmill.llm.bpe import binary_array, ragged
-from flowmill.session import scratch_path
+from flowmill.session import cut_lineage, scratch_path
 
 # Bounds of the lexicon, which only saves work: words beyond it are merged exactly.
 MAX_WORDS = 1 << 16
@@ -57,7 +57,16 @@ class WordTokenizer:
             ids = []
             for at in range(0, len(words), MERGED_AT_ONCE):
                 part = [w.decode() for w in words[at:at + MERGED_AT_ONCE]]
-                ids += [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                whole = tokenizer.encode(" ".join(part), add_special_tokens=False)
+                # A token belongs to the word that its first character lies in.
+                begins = np.cumsum([0] + [len(w) + 1 for w in part[:-1]])
+                owner = np.searchsorted(begins, [a for a, _ in whole.offsets], side="right") - 1
+                if (np.diff(owner) < 0).any():
+                    ids += [tokenizer.encode(w, add_special_tokens=False).ids for w in part]
+                    continue
+                ends = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
+                held = whole.ids
+                ids += [held[a:b] for a, b in zip(ends, ends[1:])]
             return ids
 
         return merge
@@ -189,7 +198,8 @@ class Lexicon:
 
 def frequent_words(docs: DataFrame, most: int = MAX_WORDS, hold: int = 300_000) -> list[bytes]:
     """The most frequent words that occur twice at least, in ascending order of bytes. Tasks count before the shuffle
-    and hold `hold` different words; the driver gets at most `most` words of MAX_WORD_BYTES."""
+    and hold `hold` different words. Counts fall into steps of a sixteenth of a doubling; the driver gets the
+    words of the highest steps that hold `most` words together, each up to MAX_WORD_BYTES long."""
 
     def run(batches):
         counts = Counter()
@@ -208,8 +218,17 @@ def frequent_words(docs: DataFrame, most: int = MAX_WORDS, hold: int = 300_000)
         yield rows()
 
     counted = docs.select("text").mapInArrow(run, "word binary, n long").where(F.octet_length("word") <= MAX_WORD_BYTES)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return sorted(r.word for r in top.orderBy(F.desc("n"), "word").limit(most).select("word").collect())
+    step = F.floor(F.log2("n") * 16)
+    repeated = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", step))
+    held, least = 0, None
+    for row in sorted(repeated.groupBy("step").count().collect(), reverse=True):  # at most a thousand steps
+        held += row["count"]
+        if held > most:
+            break
+        least = row["step"]
+    if least is None:
+        return []
+    return sorted(r.word for r in repeated.where(F.col("step") >= least).select("word").collect())
 
 
 def publish(spark: SparkSession, held: np.ndarray) -> str:
@@ -237,7 +256,7 @@ def encode(docs: DataFrame, tokenizer: WordTokenizer, most_words: int = MAX_WORD
     word counts is shuffled; a task holds about `block_bytes` of text, or one longer text.
 
     Null and empty texts have no ids. Null and repeated doc_ids and repeated rows keep one row each; words
-    with tied counts enter the lexicon by their bytes. Only doc_id and text are read, so other columns cannot clash.
+    with tied counts enter the lexicon together or not at all. Only doc_id and text are read, so other columns cannot clash.
     An empty table gives an empty table.
     """
     spark = docs.sparkSession

@@ -59,3 +59,12 @@ def test_frequent_words_are_counted_over_all_tasks(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert word_lexicon.frequent_words(table) == [b"a", b"b", b"c"]
     assert word_lexicon.frequent_words(table, 1, 1) == [b"a"]
+
+
+def test_words_merged_together_are_merged_alone():
+    library, merge, rng = Tokenizer.from_file(PATH), word_lexicon.WordTokenizer.read(PATH).merger(), random.Random(1)
+    chars = "abC'sȩ́́İΣςßﬁǅ日가각😀‍️  \u0085\x1c​<|>012.,!क़Ω"
+    for _ in range(5):
+        words = "\n".join("".join(rng.choice(chars) if rng.random() < .9 else rng.choice(["<|endoftext|>", chr(rng.randint(33, 0xd7ff))])
+                                  for _ in range(rng.randint(1, 12))) for _ in range(1200)).encode().split()
+        assert merge(words) == [e.ids for e in library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
