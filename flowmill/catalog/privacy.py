@@ -8,7 +8,6 @@ from flowmill.catalog import query
 from flowmill.catalog.generate import GENERATED, _generated
 from flowmill.catalog.quality import FILLED
 from flowmill.operators import privacy as P
-from flowmill.operators.split import sample_rows
 from flowmill.session import cut_lineage
 from flowmill.views import flow_sql, flow_view, table
 
@@ -35,11 +34,10 @@ def standardisation(spark, sf_dir):
     return out.select("feature", *[F.round(c, 6).alias(c) for c in ("median", "mean", "scale")])
 
 
-# Vectors of label 0-4 play the real side, the others the synthetic one; each side is
-# sampled to 5,000 rows as in the privacy report.
+# Vectors of label 0-4 play the real side, the others the synthetic one.
 KNN = """
-WITH base AS (SELECT embedding AS v FROM embeddings WHERE label < 5 ORDER BY md5('42|' || vec_id) LIMIT 5000),
-q AS (SELECT vec_id, embedding AS v FROM embeddings WHERE label >= 5 ORDER BY md5('43|' || vec_id) LIMIT 5000),
+WITH base AS (SELECT embedding AS v FROM embeddings WHERE label < 5),
+q AS (SELECT vec_id, embedding AS v FROM embeddings WHERE label >= 5),
 d AS (SELECT vec_id, list_distance(CAST(q.v AS DOUBLE[]), CAST(base.v AS DOUBLE[])) AS d
   FROM q JOIN base ON true),
 r AS (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS rk FROM d),
@@ -48,9 +46,7 @@ two AS (SELECT vec_id, max(d) FILTER (rk = 1) AS d1, max(d) FILTER (rk = 2) AS d
 
 def _nearest(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
-    base = sample_rows(vectors.filter("label < 5"), 5_000, 42, key=F.col("vec_id"))
-    rows = sample_rows(vectors.filter("label >= 5"), 5_000, 43, key=F.col("vec_id"))
-    return P.nearest_two(rows, base, "v", "vec_id")
+    return P.nearest_two(vectors.filter("label >= 5"), vectors.filter("label < 5"), "v", "vec_id")
 
 
 @query("nearest_two", KNN + " SELECT vec_id, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM two")
@@ -71,4 +67,4 @@ def distance_summary(spark, sf_dir):
 def privacy_report(spark, sf_dir):
     real = flow_view(spark, sf_dir).select(*GENERATED)
     synthetic = cut_lineage(_generated(spark, sf_dir))
-    return P.privacy_report(real, synthetic, FILLED, max_rows=2_000)
+    return P.privacy_report(real, synthetic, FILLED)

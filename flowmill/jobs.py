@@ -145,7 +145,7 @@ def main(argv: list[str] | None = None) -> None:
     job("train", "splits")
     sub = job("evaluate", "splits", "synthetic")
     sub.add_argument("--max-rows", type=int)
-    sub.add_argument("--privacy-rows", type=int, default=5_000)
+    sub.add_argument("--privacy-rows", type=int)
     job("score", "model", "input")
     sub = job("drift", "baseline", "current")
     sub.add_argument("--method", choices=D.METHODS, default="reference")

@@ -233,7 +233,7 @@ def validation_verdict(average_js: float, synthetic_percent: float, dcr_p05: flo
 
 
 def evaluation_report(train: DataFrame, val: DataFrame, test: DataFrame, synthetic: DataFrame, columns: Sequence[str],
-                      max_rows: int | None = None, privacy_rows: int = 5_000, **protocol) -> DataFrame:
+                      max_rows: int | None = None, privacy_rows: int | None = None, **protocol) -> DataFrame:
     """Long form (section, metric, key, value) of fidelity, utility, privacy and the verdict."""
     line = lambda section, df, key: df.select(F.inline(F.array(*[
         F.struct(F.lit(section).alias("section"), F.lit(c).alias("metric"), key.alias("key"),

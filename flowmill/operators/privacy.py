@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from flowmill.functions.numeric import finite
 from flowmill.operators import quality as Q
 from flowmill.operators.split import sample_rows
+from flowmill.plans.neighbours import nearest_two
 from flowmill.plans.ordered import exact_quantiles
 from flowmill.schema import META_COLUMNS, QUASI_IDENTIFIERS
 
-# The real side is held by every task: rows x columns doubles, 80 MB at most.
-MAX_HELD_CELLS = 10_000_000
-
 
 def k_anonymity(df: DataFrame, quasi: Sequence[str] = tuple(QUASI_IDENTIFIERS)) -> DataFrame:
     """One row: size of the smallest group of equal quasi-identifiers (nulls are values)."""
@@ -48,42 +44,6 @@ def standardise(df: DataFrame, columns: Sequence[str], stats: dict, keep: Sequen
     return df.select(*keep, F.array(*[cell(c) for c in columns]).alias("v"))
 
 
-def nearest_two(query: DataFrame, base: DataFrame, vector: str = "v", key: str = "id") -> DataFrame:
-    """(key, d1, d2): Euclidean distances to the two nearest base vectors; d2 is null when
-    the base has one row.
-
-    The base must be bounded (a sample): it is checked against MAX_HELD_CELLS and held by
-    each task, while query rows stream through in batches.
-    """
-    held = base.select(vector).limit(MAX_HELD_CELLS + 1).toArrow().column(vector)
-    points = np.array(held.to_pylist(), dtype=float)
-    if points.size == 0:
-        return query.select(key, F.lit(None).cast("double").alias("d1"), F.lit(None).cast("double").alias("d2"))
-    if points.size > MAX_HELD_CELLS:
-        raise ValueError("the base side is too large to hold in a task; sample it first")
-    shared = query.sparkSession.sparkContext.broadcast(points)
-    key_type = dict(query.dtypes)[key]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base_points = shared.value
-        for batch in batches:
-            first, second = [], []
-            rows = np.array(batch[vector].tolist(), dtype=float)
-            # Differences are taken directly: the dot-product form loses small distances.
-            for chunk in np.array_split(rows, max(1, len(rows) * base_points.size // 20_000_000)):
-                squared = np.zeros((len(chunk), len(base_points)))
-                for i in range(base_points.shape[1]):
-                    squared += (chunk[:, i : i + 1] - base_points[None, :, i]) ** 2
-                k = min(2, len(base_points))
-                best = np.sqrt(np.sort(np.partition(squared, k - 1, axis=1)[:, :k], axis=1))
-                first.append(best[:, 0])
-                second.append(best[:, 1] if k == 2 else np.full(len(chunk), np.nan))
-            d2 = pd.Series(np.concatenate(second))
-            yield pd.DataFrame({key: batch[key], "d1": np.concatenate(first), "d2": d2.where(d2.notna(), None)})
-
-    return query.select(key, vector).mapInPandas(search, f"{key} {key_type}, d1 double, d2 double")
-
-
 def distance_ratios(distances: DataFrame) -> DataFrame:
     """Add dcr and nndr = d1 / d2 (1 where there is no second neighbour)."""
     return distances.select(
@@ -106,18 +66,19 @@ def distance_summary(distances: DataFrame) -> DataFrame:
         "dcr_mean", "dcr_median", "dcr_p05", "dcr_p95", "nndr_mean", "nndr_median")
 
 
-def nearest_real(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], max_rows: int = 5_000,
+def nearest_real(real: DataFrame, synthetic: DataFrame, columns: Sequence[str], max_rows: int | None = None,
                  seed: int = 42) -> DataFrame:
-    """Distances of sampled synthetic rows to their two nearest sampled real rows."""
-    base = sample_rows(real.select(*columns), max_rows, seed)
-    rows = sample_rows(synthetic.select(*columns), max_rows, seed + 1)
+    """Distances of synthetic rows to their two nearest real rows: all rows, or seeded samples of max_rows a side."""
+    base, rows = real.select(*columns), synthetic.select(*columns)
+    if max_rows is not None:
+        base, rows = sample_rows(base, max_rows, seed), sample_rows(rows, max_rows, seed + 1)
     stats = {r["feature"]: r.asDict() for r in standardisation(base, columns).collect()}
     keyed = rows.withColumn("id", F.monotonically_increasing_id())
     return nearest_two(standardise(keyed, columns, stats, ["id"]), standardise(base, columns, stats))
 
 
 def privacy_report(real: DataFrame, synthetic: DataFrame, columns: Sequence[str] | None = None,
-                   max_rows: int = 5_000, seed: int = 42) -> DataFrame:
+                   max_rows: int | None = None, seed: int = 42) -> DataFrame:
     """One row: exact matches, distance summary and k-anonymity."""
     if columns is None:
         numeric, _ = Q.feature_classes(real, META_COLUMNS, categorical=())
