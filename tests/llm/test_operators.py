@@ -235,11 +235,47 @@ def test_html(spark):
 
 
 def test_quality_separates_held_out_documents(spark, sf):
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    scored = quality.classify(docs, labels).join(labels, "doc_id").select("doc_id", "score", "quality").collect()
-    assert np.mean([(r.score >= 0.7) == (r.quality == 1) for r in scored]) > 0.95
-    none = quality.classify(table(spark, [(1, None), (None, "x")]), labels.limit(0)).collect()
-    assert [r.score > 0.99 for r in none] == [True, True]
+    at = sf.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    out = quality.held_out(F.col("doc_id"))
+    scored = quality.classify(docs, labels).join(labels, "doc_id").where(out).select("doc_id", "score", "quality").collect()
+    assert len(scored) > 80 and np.mean([(r.score >= 0.7) == (r.quality == 1) for r in scored]) > 0.97
+    # What is held out teaches nothing.
+    turned = labels.withColumn("quality", F.when(out, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r.doc_id: r.score for r in quality.classify(docs, turned).where(out).collect()}
+    assert all(again[r.doc_id] == r.score for r in scored)
+
+
+def test_quality_of_odd_rows(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
+    none = quality.classify(table(spark, [(1, None), (None, "x"), (2, "long word " * 50_000)]), labels).collect()
+    assert [r.score > 0.99 for r in none] == [True] * 3
+    rows = [(i, "Good words are here, and more of them." if i % 2 else "### $$$ !!!") for i in range(60)] + [(3, "aaa"), (None, "### $$$ !!!")]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(0, 0), (5, None)], "doc_id long, quality int")
+    got = quality.classify(table(spark, rows), marks)
+    assert got.count() == len(rows) and "spans" in got.columns
+    scores = {r.text: r.score for r in got.collect()}
+    assert scores["Good words are here, and more of them."] > 0.7 > scores["### $$$ !!!"]
+
+
+def test_forest_is_a_walk_through_its_trees():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.2).astype(float)
+    forest = quality.fit_folds(x, y, depth=3, rounds=20)
+
+    def walk(row):
+        total = forest.start
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.score(x), [walk(r) for r in x])
+    assert ((forest.score(x) > 0.5) == (y == 1)).mean() > 0.9
+    assert quality.fit_folds(x[:3], np.array([0.0, 1, 1])).score(x[:3]).shape == (3,)
 
 
 @pytest.mark.parametrize("name", [q for q in queries.QUERIES if q.startswith("op") and not q.startswith("op1_")])
