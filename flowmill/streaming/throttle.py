@@ -3,6 +3,7 @@ lie in the last `window` seconds.  Rejected events leave no trace."""
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import deque
 from collections.abc import Iterator
 
@@ -13,12 +14,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowmill.streaming.time import SECOND, as_instant, micros
 
+# Accepted events and seconds of the published limit.
 LIMIT, WINDOW_SECONDS = 30, 60
 
 
 def accept(times: np.ndarray, recent: deque, limit: int, window: int) -> np.ndarray:
-    """Decide sorted times in turn; `recent` holds the accepted times in the window and is
-    updated.  An entry exactly one window old still counts."""
+    """Decide sorted times in turn; `recent` holds the accepted times in the window, in order, and is
+    updated.  An entry exactly one window old still counts, as do accepted entries that lie ahead."""
     accepted = np.zeros(len(times), dtype=bool)
     i = 0
     while i < len(times):
@@ -27,7 +29,7 @@ def accept(times: np.ndarray, recent: deque, limit: int, window: int) -> np.ndar
             recent.popleft()
         if len(recent) < limit:
             accepted[i] = True
-            recent.append(int(now))
+            insort(recent, int(now))
             i += 1
         else:
             # Nothing is accepted before the oldest entry leaves the window.
@@ -95,36 +97,48 @@ def throttle(events: DataFrame, key: str, ts: str, tie: str, limit: int = LIMIT,
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, tie: str, limit: int = LIMIT,
-                    window_seconds: float = WINDOW_SECONDS, late_after: str = "1 minute") -> DataFrame:
-    """The same decision on a stream: (key, ts, tie, accepted, late).
+                    window_seconds: float = WINDOW_SECONDS, late_after: str = "1 minute",
+                    idle_seconds: int | None = None) -> DataFrame:
+    """The same decision on a stream, one row for every event: (key, ts, tie, accepted, late).
 
-    State per key is the accepted times still in the window, at most `limit` of them.  A
+    State per key is the accepted times still in the window, at most `limit` of them, in order. A
     micro-batch sorts each key's new events, so its size (maxFilesPerTrigger or the like)
     bounds what a task holds.
-    Events behind the watermark are not decided: accepted is null and late is true.
+    Events behind the watermark come out undecided: accepted is null and late is true. Events without key
+    or time belong to no window: they are accepted and not late, without state. With `idle_seconds` a key that is
+    quiet for so long in processing time loses its state once the watermark has left its window. That is for streams
+    that run on: such a timer keeps an availableNow run from ending. Without it, keys keep their last times.
     """
     window = int(window_seconds * SECOND)
     events = as_instant(events, ts)
     types = dict(events.dtypes)
+    placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
     timed = events.select(key, ts, tie, micros(events, ts).alias("_t")).withWatermark(ts, late_after)
 
     def decide(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs() * 1000
+        recent = deque(state.get[0]) if state.exists else deque()
         if state.hasTimedOut:
-            state.remove()
+            if not recent or recent[-1] + window < mark:
+                state.remove()
+            else:
+                state.setTimeoutDuration(1000 * idle_seconds)
             return
         rows = pd.concat(list(batches)).sort_values(["_t", tie], kind="stable")
-        mark = state.getCurrentWatermarkMs() * 1000
-        late = rows["_t"].to_numpy() < mark
-        times = rows["_t"].to_numpy()[~late]
-        recent = deque(state.get[0]) if state.exists else deque()
+        times = rows["_t"].to_numpy()
+        late = times < mark
         decided = np.full(len(rows), None, dtype=object)
-        decided[~late] = accept(times, recent, limit, window)
-        if len(times) or state.exists:
+        decided[~late] = accept(times[~late], recent, limit, window)
+        if recent or state.exists:
             state.update((list(recent),))
-            newest = max(recent, default=mark)
-            state.setTimeoutTimestamp(max(newest + window, mark) // 1000 + 1)
+            if idle_seconds is not None:
+                state.setTimeoutDuration(1000 * idle_seconds)
         yield rows[[key, ts, tie]].assign(accepted=decided, late=late)
 
-    return timed.groupBy(key).applyInPandasWithState(
+    # These timeouts keep late rows in the group; an event-time one would drop them unseen.
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    decided = timed.where(placed).groupBy(key).applyInPandasWithState(
         decide, f"{key} {types[key]}, {ts} {types[ts]}, {tie} {types[tie]}, accepted boolean, late boolean",
-        "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        "recent array<bigint>", "append", timeout)
+    loose = events.where(~placed).select(key, ts, tie, F.lit(True).alias("accepted"), F.lit(False).alias("late"))
+    return decided.unionByName(loose)
