@@ -23,8 +23,9 @@ def _sides(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def pooled_range(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, low, high, n_a, n_b) over both tables: two wide aggregates, no row shuffle."""
+    """(feature, low, high, n_a, n_b) of the finite cells of both tables: two wide aggregates, no row shuffle."""
     def one(df, name):
+        df = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
         wide = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns],
                       *[F.max(c).alias(f"hi_{c}") for c in columns],
                       *[F.count(c).alias(f"n_{c}") for c in columns])

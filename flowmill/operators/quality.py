@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from flowmill.functions.numeric import null_token, text_to_number, to_number
+from flowmill.functions.numeric import finite, null_token, text_to_number, to_number
 from flowmill.plans.ordered import exact_quantiles
 from flowmill.plans.small import broadcast_checked, settle
 from flowmill.schema import (
@@ -150,8 +150,13 @@ def unknown_facet_values(df: DataFrame, **wanted) -> DataFrame:
 
 
 def check_generation_request(rows: int, mode: str, minimum_per_category: int,
-                             noise_scale: float, clip_quantile: float) -> None:
-    """Range checks of an interactive generation request; batch jobs may ask for more rows."""
+                             noise_scale: float, clip_quantile: float, interactive: bool = True) -> None:
+    """Range checks of a generation request. Interactive ones have bounds; a batch job may ask for any number
+    of rows, more noise and a wider clip, which is clamped, but for nothing below zero."""
+    if not interactive:
+        # What a batch job may exceed is checked at its lower end only.
+        rows, noise_scale = (100 if rows >= 1 else rows), min(noise_scale, 0.5)
+        minimum_per_category, clip_quantile = min(minimum_per_category, rows), min(clip_quantile, 0.1)
     problems = {
         "mode must be proportional, balanced or label_balanced":
             mode not in ("proportional", "balanced", "label_balanced"),
@@ -258,16 +263,16 @@ def quality_report(before: DataFrame, after: DataFrame) -> DataFrame:
 # -------------------------------------------------- fill, profile, constraints
 
 def unpivot_numeric(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Long form (keep..., feature, value) without nulls."""
+    """Long form (keep..., feature, value) without nulls; cells that are not finite count as missing."""
     lines = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns
+        F.struct(F.lit(c).alias("feature"), finite(F.col(c).cast("double")).alias("value")) for c in columns
     ])
     return df.select(*keep, F.inline(lines)).filter(F.col("value").isNotNull())
 
 
 def column_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, low, high, n, rows): bounds and filled cells of numeric columns in one aggregate."""
-    wide = df.agg(F.count("*").alias("rows"), *[
+    """(feature, low, high, n, rows): bounds and filled, finite cells of numeric columns in one aggregate."""
+    wide = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns]).agg(F.count("*").alias("rows"), *[
         f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))])
     return wide.select("rows", F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"lo_{c}").cast("double").alias("low"),
@@ -304,16 +309,20 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], key: str = "attack_ca
                     quantile: float = 0.005) -> DataFrame:
     """(key, feature, std, low, high): sample deviation and clip bounds per group.
 
-    quantile is clamped to [0, 0.1]; 0 means minimum and maximum.
+    quantile is clamped to [0, 0.1]; 0 means minimum and maximum. A null key is a group too; cells that are
+    not finite count as missing.
     """
     q = min(max(float(quantile), 0.0), 0.1)
+    # Joins by the key go through a text that nulls have as well.
+    held = df.select(key, F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("-")).alias("_key"),
+                     *[finite(F.col(c).cast("double")).alias(c) for c in columns])
     spread = (
-        df.groupBy(key)
+        held.groupBy(key, "_key")
         .agg(*[F.stddev_samp(c).alias(f"s_{c}") for c in columns],
              *[F.min(c).alias(f"lo_{c}") for c in columns],
              *[F.max(c).alias(f"hi_{c}") for c in columns],
              *[F.count(c).alias(f"n_{c}") for c in columns])
-        .select(key, F.inline(F.array(*[
+        .select(key, "_key", F.inline(F.array(*[
             F.struct(F.lit(c).alias("feature"), F.col(f"s_{c}").cast("double").alias("std"),
                      F.col(f"lo_{c}").cast("double").alias("low"),
                      F.col(f"hi_{c}").cast("double").alias("high"), F.col(f"n_{c}").alias("n"))
@@ -321,15 +330,16 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], key: str = "attack_ca
         .filter("n > 0").fillna(0.0, ["std"])
     )
     if q == 0:
-        return spread.drop("n")
+        return spread.drop("n", "_key")
     spread = settle(spread)
     bounds = (
-        exact_quantiles(unpivot_numeric(df, columns, [key]), [key, "feature"], "value", [q, 1 - q],
-                        spread.select(key, "feature", "low", "high", "n"))
-        .groupBy(key, "feature")
+        exact_quantiles(unpivot_numeric(held, columns, ["_key"]), ["_key", "feature"], "value", [q, 1 - q],
+                        spread.select("_key", "feature", "low", "high", "n"))
+        .groupBy("_key", "feature")
         .agg(F.min_by("quantile", "prob").alias("low"), F.max_by("quantile", "prob").alias("high"))
     )
-    return spread.drop("low", "high", "n").join(broadcast_checked(bounds), [key, "feature"])
+    return spread.drop("low", "high", "n").join(broadcast_checked(bounds), ["_key", "feature"]).select(
+        key, "feature", "std", "low", "high")
 
 
 def constraint_violations(df: DataFrame) -> DataFrame:

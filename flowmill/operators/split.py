@@ -13,15 +13,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowmill.functions.hashing import row_digest
 from flowmill.plans.ordered import hash_cuts
-from flowmill.plans.small import broadcast_checked, settle
+from flowmill.plans.small import broadcast_checked, column_max, settle
 from flowmill.session import cut_lineage
 
 
+# Copies of one row that are numbered by one task.
+COPIES = 100_000
+# Digits of a key's digest and a row's behind it that slices may go into.
+KEYED_DIGITS = 63
+
+
 def _digest(df: DataFrame, seed: int, key: Column | None) -> Column:
-    """Digest of the row, or of a key column that is unique per row."""
+    """Digest of the row, or of a key column and then of the row; equal ones are copies."""
     if key is None:
         return row_digest(df.columns, seed)
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+    return F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), row_digest(df.columns, seed))
+
+
+def _numbered(copies: DataFrame) -> DataFrame:
+    """The rows with `_ordinal`, 1 .. n among equal rows. Equal rows are collapsed to a count and made again in
+    portions, so that no task sees all copies of a row."""
+    counted = copies.groupBy(*copies.columns).agg(F.count("*").alias("_n"))
+    portions = counted.withColumn("_from", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {COPIES}"))))
+    first, last = F.col("_from") * COPIES + 1, F.least("_n", (F.col("_from") + 1) * COPIES)
+    return portions.repartition("_from", "_h").withColumn("_ordinal", F.explode(F.sequence(first, last))).drop("_n", "_from")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Column | None = None) -> DataFrame:
@@ -29,7 +44,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Column | None = None
     keyed = df.withColumn("_h", _digest(df, seed, key))
     narrow = keyed.select(F.lit(0).alias("_g"), "_h")
     wanted = df.sparkSession.createDataFrame([(0, n)], "_g int, k long")
-    found = hash_cuts(narrow, "_g", "_h", wanted).first()
+    found = hash_cuts(narrow, "_g", "_h", wanted, KEYED_DIGITS if key is not None else 30).first()
     below = keyed.filter(F.col("_h") < found["cut"])
     if found["short"]:
         # Copies of one row straddle the cut; any of them will do.
@@ -74,8 +89,8 @@ def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test
     """Add `split`: floor(train * n) rows of train, then the rest divided val : test.
 
     Each cut keeps stratum shares (rare categories are pooled by label, below 10 rows at
-    the first cut and below 4 at the second).  Rows must be distinct, as after dedup; rows without
-    label are a class of their own.
+    the first cut and below 4 at the second).  Rows without label are a class of their own. Copies that straddle a
+    cut are numbered, and as many go below it as are missing there.
     """
     if round(train + val + test, 6) != 1.0:
         raise ValueError("split sizes must sum to 1")
@@ -92,21 +107,37 @@ def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test
             strata.select("category", "label", "stratum").join(
                 quotas(strata, fraction).select("stratum", "k"), "stratum"))
         keyed_rows = rows.join(broadcast_checked(classes).drop("k"), ["category", "label"])
-        found = hash_cuts(keyed_rows, "stratum", "_h", classes.select("stratum", "k").distinct())
-        return settle(classes.join(found, "stratum").select("category", "label", "cut"))
+        found = hash_cuts(keyed_rows, "stratum", "_h", classes.select("stratum", "k").distinct(),
+                          KEYED_DIGITS if key is not None else 30)
+        return settle(classes.join(found, "stratum").select("category", "label", "cut", "short"))
 
     first = cuts(narrow, 10, train)
-    rest = narrow.join(broadcast_checked(first), ["category", "label"]).filter(
-        F.col("_h") >= F.col("cut")).drop("cut")
-    second = cuts(rest, 4, val / (val + test))
+    placed = narrow.join(broadcast_checked(first), ["category", "label"])
+    rest = placed.filter((F.col("_h") > F.col("cut")) | ((F.col("_h") == F.col("cut")) & (F.col("short") == 0)))
+    copied = bool(column_max(first, "short"))
+    if copied:
+        tied = _numbered(placed.filter((F.col("_h") == F.col("cut")) & (F.col("short") > 0)))
+        rest = rest.unionByName(tied.filter(F.col("_ordinal") > F.col("short")).drop("_ordinal"))
+    second = cuts(rest.drop("cut", "short"), 4, val / (val + test))
+    copied = copied or bool(column_max(second, "short"))
     name = lambda cut, to: broadcast_checked(cut).withColumnsRenamed(
-        {"category": "_c", "label": "_y", "cut": to})
-    side = (F.when(F.col("_h") < F.col("_cut1"), names[0])
-            .when(F.col("_h") < F.col("_cut2"), names[1]).otherwise(names[2]))
-    return (
-        keyed.withColumn("_y", F.coalesce(F.col("label").cast("int"), F.lit(NO_LABEL))).join(name(first, "_cut1"), ["_c", "_y"])
-        .join(name(second, "_cut2"), ["_c", "_y"], "left")
-        .withColumn("split", side).drop("_c", "_y", "_h", "_cut1", "_cut2"))
+        {"category": "_c", "label": "_y", "cut": f"_cut{to}", "short": f"_short{to}"})
+    cut_rows = (
+        keyed.withColumn("_y", F.coalesce(F.col("label").cast("int"), F.lit(NO_LABEL))).join(name(first, 1), ["_c", "_y"])
+        .join(name(second, 2), ["_c", "_y"], "left").fillna(0, ["_short2"]))
+    own = ["_c", "_y", "_h", "_cut1", "_cut2", "_short1", "_short2"]
+    h, below = F.col("_h"), lambda n: F.col("_h") < F.col(f"_cut{n}")
+    side = F.when(below(1), names[0]).when(below(2), names[1]).otherwise(names[2])
+    if not copied:
+        return cut_rows.withColumn("split", side).drop(*own)
+    at = lambda n: (h == F.col(f"_cut{n}")) & (F.col(f"_short{n}") > 0)
+    tie = F.coalesce(at(1), F.lit(False)) | F.coalesce(at(2), F.lit(False))
+    # Of a row's copies those missing below the first cut come first, then those missing below the second.
+    before = F.when(at(1), F.col("_short1")).otherwise(0)
+    tied_side = (F.when(at(1) & (F.col("_ordinal") <= F.col("_short1")), names[0])
+                 .when(below(2) | (at(2) & (F.col("_ordinal") <= before + F.col("_short2"))), names[1]).otherwise(names[2]))
+    numbered = _numbered(cut_rows.filter(tie)).withColumn("split", tied_side).drop("_ordinal")
+    return cut_rows.filter(~tie).withColumn("split", side).unionByName(numbered).drop(*own)
 
 
 def split_counts(split: DataFrame) -> DataFrame:

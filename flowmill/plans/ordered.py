@@ -173,10 +173,10 @@ _MAX_DIGITS = 30
 MAX_RANKED_ROWS = 100_000
 
 
-def hash_cuts(df: DataFrame, key: str, digest: str, wanted: DataFrame) -> DataFrame:
+def hash_cuts(df: DataFrame, key: str, digest: str, wanted: DataFrame, digits: int = _MAX_DIGITS) -> DataFrame:
     """The digest at 0-based rank `k` of each key, as (key, cut, short).
 
-    `digest` is a lower-case hex string; `wanted` holds (key, k).  Rows with digest < cut
+    `digest` is a lower-case hex string, narrowed by up to `digits` digits; `wanted` holds (key, k).  Rows with digest < cut
     are the k smallest, `short` of them missing when rows with the cut's own digest
     (copies) straddle the rank; short is 0 where digests are unique.
 
@@ -198,7 +198,7 @@ def hash_cuts(df: DataFrame, key: str, digest: str, wanted: DataFrame) -> DataFr
         found = settle(_rank_holder(counts, key, "slice").withColumnRenamed("slice", "prefix"))
         largest = column_max(found, "n")
         targets = found
-        if largest is None or largest <= MAX_RANKED_ROWS or depth >= _MAX_DIGITS:
+        if largest is None or largest <= MAX_RANKED_ROWS or depth >= digits:
             break
     copies = (
         df.select(key, digest)

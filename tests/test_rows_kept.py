@@ -1,8 +1,9 @@
 """No row is lost for a missing key or an infinite cell."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from flowmill.operators import compare, quality, split
+from flowmill.operators import compare, drift, generate, quality, split
 from flowmill.sources import audit
 from flowmill.streaming.throttle import throttle
 
@@ -30,3 +31,42 @@ def test_throttle_keeps_events_without_key_or_time(spark):
     df = spark.createDataFrame(rows, "id long, who string, ts double").withColumn("ts", F.timestamp_seconds("ts"))
     got = {r.id: r.accepted for r in throttle(df, "who", "ts", "id", limit=1, window_seconds=10).collect()}
     assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+
+@pytest.mark.parametrize("key", [None, "id", "nothing"])
+def test_copies_are_split_like_other_rows(spark, key):
+    key = {"id": F.col("id"), "nothing": F.lit(None)}.get(key)
+    copies = [(None if key is None else 5, "a", 1, "same")] * 1000
+    others = [(i, "b", 0, f"row {i % 150}") for i in range(100, 300)]
+    df = spark.createDataFrame(copies + others, "id long, attack_category string, label int, text string").repartition(4)
+    got = {(r.split, r.attack_category): r["count"]
+           for r in split.stratified_split(df, key=key).groupBy("split", "attack_category").count().collect()}
+    assert [got[s, "a"] for s in ("train", "val", "test")] == [700, 150, 150]
+    assert [got[s, "b"] for s in ("train", "val", "test")] == [140, 30, 30]
+
+
+def test_profile_of_a_null_category_and_infinite_cells(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 2.0), ("a", float("inf")), ("a", float("nan")), ("a", 4.0), ("b", None)]
+    df = spark.createDataFrame(rows, "attack_category string, x double")
+    for q in (0.0, 0.05):
+        got = {r.attack_category: r for r in quality.numeric_profile(df, ["x"], quantile=q).collect()}
+        assert set(got) == {None, "a"}
+        assert got[None].low == pytest.approx(1 + 2 * q) and got["a"].high == pytest.approx(4 - 2 * q)
+        assert got["a"].std == pytest.approx(2 ** 0.5)
+
+
+def test_one_infinite_cell_does_not_hide_drift(spark):
+    a = spark.createDataFrame([(float(i % 100),) for i in range(1000)], "x double")
+    b = spark.createDataFrame([(float(i % 100) + 80,) for i in range(1000)], "x double")
+    odd = b.union(spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),)], "x double"))
+    plain, got = (drift.drift_report(a, t, ["x"]).first() for t in (b, odd))
+    assert got.psi == plain.psi > 1 and got.severity == "high"
+    js = [compare.js_divergence(a, t, ["x"]).first().js_divergence for t in (b, odd)]
+    assert js[0] == js[1] > 0.1
+
+
+def test_generation_refuses_what_is_below_zero(spark):
+    df = spark.createDataFrame([("a", 1)], "attack_category string, label int")
+    for bad in ({"noise_scale": -0.1}, {"rows": 0}, {"minimum_per_category": -1}, {"clip_quantile": -0.01}, {"mode": "odd"}):
+        with pytest.raises(ValueError):
+            generate.generate(df, generate.GenerationRequest(**bad))
