@@ -18,9 +18,15 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre
 search section summary table tbody td tfoot th thead tr ul""".split())
 # Elements whose text is never the article's.
-DROPPED = frozenset("""head nav footer aside form script style noscript template iframe object embed svg canvas audio
-video button select textarea input label menu dialog title noembed noframes xmp fieldset datalist map""".split())
-# Values of class, id and role (whole ones, between spaces) that mark what surrounds an article.
+DROPPED = frozenset("""head nav footer aside script style noscript template iframe object embed svg canvas audio
+video select textarea input menu dialog title noembed noframes xmp datalist map""".split())
+# Elements that may wrap a whole page or stand in the midst of a sentence: the first count like marked
+# elements, the second are dropped where they stand by themselves.
+FORMS = frozenset(["form", "fieldset"])
+CONTROLS = frozenset(["label", "button"])
+PROSE = frozenset("p li dd dt td th blockquote figcaption h1 h2 h3 h4 h5 h6 span em strong b i a code kbd label".split())
+# Values of class, id and role that mark what surrounds an article: whole ones, or joined by hyphens to words of
+# PLACES only (comments-area, ad-container; not has-sidebar, no-comments, related-work).
 MARKED = frozenset("""ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo promos
 promotion nav navbar navigation navi menu menus breadcrumb breadcrumbs header masthead topbar footer foot bottombar
 sidebar sidebars side aside rail widget widgets comment comments commentlist reply replies respond discussion disqus
@@ -30,6 +36,13 @@ complementary contentinfo toolbar skip""".split())
 REPLIES = frozenset("comment comments commentlist reply replies respond disqus".split())
 # The marks that count on a paragraph, whose class may say how it looks or what it is about.
 ADVERTS = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promos promotion""".split())
+PLACES = frozenset("""area list body section post posts entry article site page main container wrapper wrap box block inner outer item
+items content bar top bottom left right primary secondary global sticky fixed floating group holder region panel pane zone
+slot unit row col column title form links link buttons button story stories thread count inline leaderboard mobile desktop
+small large mini in up new latest more""".split())
+# Marked by themselves, but parts of too many names of ordinary sections; and those that only a whole site has.
+ALONE = frozenset("discussion side rail search head foot header footer masthead recommended recommendations copyright".split())
+SITES = frozenset(["site", "page", "global"])
 # A marked element with a larger share of the page's text is no surrounding of it.
 MOST_MARKED = 0.5
 # An open element of the first kind ends when one of the second begins.
@@ -68,18 +81,28 @@ def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
         at = page.find(quote, first + 1) + 1
 
 
+def _marked_by(value: str, words: frozenset) -> str | None:
+    """The word of `words` by which a value marks an element, if it does."""
+    if value in words:
+        return value
+    parts = re.split("[-_]+", value.strip("-_"))
+    if len(parts) < 2:
+        return None
+    hits = [p for p in parts if p in words and (p not in ALONE or not SITES.isdisjoint(parts))]
+    return hits[0] if hits and all(p in words or p in PLACES for p in parts) else None
+
+
 def _mark(tag: str, found: list[tuple[str, str]], inside: bool) -> str | None:
-    """The first value that marks an element as something around the article, if any. Ids of sections
-    and whatever headings have name their subject inside an article."""
+    """The first word that marks an element as something around the article, if any. Ids of sections, unless they
+    name replies, and whatever headings have name their subject inside an article."""
     if tag in ("html", "body", "main") or inside and tag in HEADINGS:
         return None
     words = REPLIES if tag == "article" else ADVERTS if inside and tag == "p" else MARKED
     for name, values in found:
-        if inside and tag == "section" and name.lower() == "id":
-            continue
+        known = words & REPLIES if inside and tag == "section" and name.lower() == "id" else words
         for value in values.strip("\"'").lower().split():
-            if value in words:
-                return value
+            if word := _marked_by(value, known):
+                return word
     return None
 
 
@@ -160,7 +183,9 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, tuple[tuple[i
         if tag in DROPPED or tag == "header" and not inside or attributes and tag not in ("html", "body", "main") and HIDDEN.search(
                 attributes):
             own = None
-        elif own is not None and given and (mark := _mark(tag, given, inside)):
+        elif tag in CONTROLS and not (stack and stack[-1][0] in PROSE):
+            own = None
+        elif own is not None and (mark := given and _mark(tag, given, inside) or tag in FORMS and "form"):
             own = (*own, (opening, mark, inside))
         if tag in RAW:
             if lowered is None:
@@ -184,7 +209,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int, tuple[tuple[i
 def content(page: str, threshold: float = 0.3, window: int = 2) -> list[str]:
     """The article's blocks: those on tag paths whose fused, smoothed ratios pass the threshold.
 
-    Marked elements (MARKED) are left out first, unless nothing else is left, or one holds over MOST_MARKED
+    Marked elements (MARKED) and forms are left out first, unless nothing else is left, or one holds over MOST_MARKED
     of the page's text, is not marked as replies or advert, and does not stand outside of an unmarked container.
 
     For every root-to-leaf path, text ratio = characters outside links per block and punctuation ratio =
@@ -252,7 +277,8 @@ def extract(pages: DataFrame, threshold: float = 0.3) -> DataFrame:
 
     One pass without a shuffle; a page is parsed in time linear in its length. Null or empty html,
     and pages without an article, give an empty text; null page_id and url are passed on; repeated rows
-    give repeated rows; other columns are not read.
+    give repeated rows; other columns are not read. Of paths that tie for the strongest, the last in order of
+    names decides; an empty table gives an empty table.
     """
     kinds = {f.name: f for f in pages.schema.fields}
     schema = T.StructType([kinds["page_id"], kinds["url"], T.StructField("text", T.StringType())])
