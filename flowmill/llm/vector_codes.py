@@ -87,8 +87,10 @@ def usable(df: DataFrame, vector: str = "embedding") -> tuple[DataFrame, int]:
 
 def _points(column: pa.Array, parts: int) -> np.ndarray:
     """Integer components as (rows, parts, width of a part)."""
+    if not len(column):
+        return np.zeros((0, parts, 0), np.int64)
     flat = np.floor(np.asarray(column.flatten(), np.float64) * SCALE)
-    if len(flat) and np.abs(flat).max() >= MAX_COMPONENT:
+    if np.abs(flat).max() >= MAX_COMPONENT:
         raise ValueError(f"vector components must be below {MAX_COMPONENT // SCALE} in size")
     return flat.astype(np.int64).reshape(len(column), parts, -1)
 
