@@ -142,7 +142,8 @@ def _poisson_sql(u):
 # The four cells hold more than 16 rows at any scale, score groups may hold fewer.
 @query("bootstrap_ci", SCORED + """
 , g1 AS (SELECT label AS y, prediction AS p, label || '|' || prediction AS key, count(*) AS n FROM judged GROUP BY 1, 2),
-g2 AS (SELECT label AS y, score, label || '|' || CAST(round(score * 1e9) AS BIGINT) AS key, count(*) AS n FROM judged GROUP BY 1, 2),
+g2 AS (SELECT label AS y, score, label || '|' || CAST(CASE WHEN score = 0 THEN 0 ELSE round(score * 2.0 ** (52 - floor(log2(score)))) END AS BIGINT)
+  || 'e' || CAST(CASE WHEN score = 0 THEN 0 ELSE floor(log2(score)) END AS BIGINT) AS key, count(*) AS n FROM judged GROUP BY 1, 2),
 w1 AS (SELECT y, p, round, CAST(greatest(0.0, floor(n + sqrt(n) * """
        + normal_sql("'boot|42|' || round || '|' || key") + """ + 0.5)) AS BIGINT) AS weight
   FROM g1 CROSS JOIN (SELECT unnest(range(0, 100)) AS round) r),

@@ -175,6 +175,15 @@ def _poisson_one(u: Column) -> Column:
     return rule.otherwise(17)
 
 
+def double_key(value: Column) -> Column:
+    """A text that tells doubles apart: exponent and whole-number mantissa of 53 bits."""
+    power = F.when(value != 0, F.floor(F.log2(F.abs(value)))).otherwise(0).cast("long")
+    # In two steps, since 2 ** (52 - power) alone may exceed what a double holds.
+    half = F.floor((F.lit(52) - power) / 2)
+    whole = value * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), F.lit(52) - power - half)
+    return F.concat_ws("e", F.round(whole).cast("long").cast("string"), power.cast("string"))
+
+
 def bootstrap_weights(counts: DataFrame, rounds: int, seed: int, keys: list[str]) -> DataFrame:
     """Resampled multiplicity (`weight`) of each counted group (`n` rows) per round.
 
@@ -214,8 +223,7 @@ def bootstrap_ci(df: DataFrame, rounds: int = 100, seed: int = 42, label: str =
 
     if auc_step:
         scored = scored.withColumn("score", F.floor(F.col("score") / auc_step) * auc_step)
-    groups = scored.groupBy("y", "score").agg(F.count("*").alias("n")).withColumn(
-        "at", F.round(F.col("score") * 1e9).cast("long"))
+    groups = scored.groupBy("y", "score").agg(F.count("*").alias("n")).withColumn("at", double_key(F.col("score")))
     drawn = bootstrap_weights(groups, rounds, seed, ["y", "at"]).filter("weight > 0")
     by_score = drawn.groupBy("round", "score").agg(
         F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("weight"))), F.lit(0)).alias("pos"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowmill.functions.numeric import finite, null_token, text_to_number, to_number
 from flowmill.plans.ordered import exact_quantiles
@@ -464,23 +464,34 @@ def compare_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns and c not in LINEAGE_COLUMNS]
 
 
-def _membership(synthetic: DataFrame, real: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
+# Fingerprints that both tables hold are broadcast up to this many (8 bytes each).
+MAX_SHARED_FINGERPRINTS = 2_000_000
+
+
+def row_fingerprint(types: dict[str, str], columns: Sequence[str]) -> Column:
+    """64 bits that equal rows share. 0.0 and -0.0 are equal cells but hash apart: add 0.0 first."""
+    return F.xxhash64(*[F.col(f"`{c}`") + F.lit(0.0) if types[c] in ("double", "float") else F.col(f"`{c}`") for c in columns])
+
+
+def _membership(synthetic: DataFrame, real: DataFrame, columns: Sequence[str], how: str,
+                fingerprint=row_fingerprint) -> DataFrame:
+    """Fingerprints meet first: eight bytes a distinct row are shuffled, and only real rows whose fingerprint
+    a synthetic row has as well are compared cell by cell. A fingerprint that different rows share costs
+    comparisons, not rows."""
     cells = [F.col(f"s.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in columns]
     same = F.col("s._h") == F.col("r._h")
     for cell in cells:
         same = same & cell
-    # 0.0 and -0.0 are equal cells but hash apart: add 0.0 first.
-    def hashed(df):
-        types = dict(df.dtypes)
-        parts = [F.col(c) + F.lit(0.0) if types[c] in ("double", "float") else F.col(c) for c in columns]
-        return df.withColumn("_h", F.xxhash64(*parts))
-    left = hashed(synthetic).alias("s")
-    right = hashed(real.select(*columns)).dropDuplicates().alias("r")
-    return left.join(right, same, how).drop("_h")
+    marked = lambda df: df.withColumn("_h", fingerprint(dict(df.dtypes), columns))
+    left, right = marked(synthetic), marked(real.select(*[F.col(f"`{c}`") for c in columns]))
+    shared = broadcast_checked(
+        left.select("_h").distinct().join(right.select("_h").distinct(), "_h", "left_semi"), MAX_SHARED_FINGERPRINTS)
+    candidates = right.join(shared, "_h", "left_semi").dropDuplicates()
+    return left.alias("s").join(candidates.alias("r"), same, how).drop("_h")
 
 
 def exact_matches(synthetic: DataFrame, real: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows of synthetic equal to some real row; the hash narrows, the cells decide."""
+    """Rows of synthetic equal to some real row; fingerprints narrow, the cells decide."""
     columns = compare_columns(synthetic, real) if columns is None else columns
     if not columns:
         return synthetic.filter(F.lit(False))
@@ -494,19 +505,8 @@ def novel_rows(synthetic: DataFrame, real: DataFrame, columns: Sequence[str] | N
 
 
 def exact_match_count(synthetic: DataFrame, real: DataFrame) -> DataFrame:
-    """One row: how many synthetic rows equal a real row.
-
-    One grouping over both tables instead of a join: copies combine before the shuffle.
-    """
-    columns = compare_columns(synthetic, real)
-    if not columns:
-        return synthetic.sparkSession.range(1).select(F.lit(0).cast("long").alias("exact_real_row_matches"))
-    both = synthetic.select(*columns, F.lit(1).alias("_s"), F.lit(False).alias("_r")).unionByName(
-        real.select(*columns, F.lit(0).alias("_s"), F.lit(True).alias("_r")))
-    return (
-        both.groupBy(*columns).agg(F.sum("_s").alias("_s"), F.max("_r").alias("_r"))
-        .agg(F.coalesce(F.sum(F.when(F.col("_r"), F.col("_s"))), F.lit(0)).alias("exact_real_row_matches"))
-    )
+    """One row: how many synthetic rows equal a real row."""
+    return exact_matches(synthetic, real).agg(F.count("*").alias("exact_real_row_matches"))
 
 
 def generation_quality(synthetic: DataFrame, real: DataFrame) -> DataFrame:

@@ -158,3 +158,26 @@ def test_nearest_two_matches_brute_force(spark):
     assert one.d2 is None
     s = P.distance_summary(P.nearest_two(q, b)).first()
     assert s.dcr_p05 == pytest.approx(np.percentile(d[:, 0], 5)) and s.nndr_mean == pytest.approx((d[:, 0] / d[:, 1]).mean())
+
+
+def test_bootstrap_area_does_not_depend_on_the_scale_of_scores(spark):
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 2000)
+    raw = rng.normal(size=2000) + 0.6 * y
+    rank = raw.argsort().argsort() / 2000
+
+    def area(labels, scores):
+        order = scores.argsort()
+        ranks = np.empty(len(scores))
+        ranks[order] = np.arange(1, len(scores) + 1)
+        for v in np.unique(scores):
+            ranks[scores == v] = ranks[scores == v].mean()
+        n1 = labels.sum()
+        return (ranks[labels == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(labels) - n1))
+
+    draws = [area(y[i], rank[i]) for i in (rng.integers(0, 2000, 2000) for _ in range(200))]
+    low, high = np.quantile(draws, [0.025, 0.975])
+    for scores in (rank, rank * 1e-8, 1 - (1 - rank) * 1e-12, rank * 1e-200):
+        df = spark.createDataFrame([(int(a), 1, float(s)) for a, s in zip(y, scores)], "label int, prediction int, score double")
+        got = {r.metric: r for r in M.bootstrap_ci(df, rounds=200).collect()}["roc_auc"]
+        assert abs((got.high - got.low) / (high - low) - 1) < 0.25 and abs(got.low - low) < 0.02

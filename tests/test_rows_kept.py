@@ -70,3 +70,17 @@ def test_generation_refuses_what_is_below_zero(spark):
     for bad in ({"noise_scale": -0.1}, {"rows": 0}, {"minimum_per_category": -1}, {"clip_quantile": -0.01}, {"mode": "odd"}):
         with pytest.raises(ValueError):
             generate.generate(df, generate.GenerationRequest(**bad))
+
+
+def test_matches_are_exact_when_fingerprints_collide(spark):
+    kinds = "a double, b string, c long"
+    real = spark.createDataFrame([(0.0, "x", 1), (0.0, "x", 1), (None, "y", 2), (float("nan"), None, 3), (5.0, "z", 4)], kinds)
+    rows = [(-0.0, "x", 1), (-0.0, "x", 1), (None, "y", 2), (float("nan"), None, 3), (5.0, "z", 5), (None, None, None)]
+    made = spark.createDataFrame(rows, kinds)
+    shown = lambda df: sorted(map(str, df.collect()))
+    plain = {how: shown(quality._membership(made, real, ["a", "b", "c"], how)) for how in ("left_semi", "left_anti")}
+    assert len(plain["left_semi"]) == 4 and len(plain["left_anti"]) == 2
+    one = lambda types, columns: F.lit(7).cast("long")
+    assert all(shown(quality._membership(made, real, ["a", "b", "c"], how, one)) == rows for how, rows in plain.items())
+    assert quality.exact_match_count(made, real).first().exact_real_row_matches == 4
+    assert quality.exact_match_count(made, real.limit(0)).first().exact_real_row_matches == 0
