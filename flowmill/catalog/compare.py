@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowmill.catalog import query
 from flowmill.operators import compare as C
 from flowmill.operators import drift as D
+from flowmill.plans.small import settle
 from flowmill.views import flow_sql, flow_view
 
 FEATURES = ["duration", "src_bytes", "dst_bytes", "total_packets_fwd", "packet_length_mean", "idle_mean"]
@@ -153,6 +154,11 @@ def drift_summary(spark, sf_dir):
 
 
 @query("top_drifted", DRIFT + """
-SELECT feature, psi FROM report WHERE severity = 'high' ORDER BY coalesce(nullif(psi, 0), -1) DESC, feature LIMIT 10""")
+, graded AS (SELECT feature, textbook AS psi, CASE WHEN textbook < 0.1 THEN 'stable' WHEN textbook < 0.25 THEN 'moderate' ELSE 'high' END
+  AS severity FROM score),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY severity ORDER BY psi DESC, feature) AS place FROM graded)
+SELECT severity, feature, psi FROM ranked WHERE severity = 'high' AND place <= 10 OR severity = 'stable' AND place <= 3""")
 def top_drifted(spark, sf_dir):
-    return D.top_drifted(D.drift_report(*_pair(spark, sf_dir), LISTED), "high").select("feature", "psi")
+    """The worst features of two severities, the second cut by the limit."""
+    report = settle(D.drift_report(*_pair(spark, sf_dir), FEATURES, method="psi"))
+    return D.top_drifted(report, "high").unionByName(D.top_drifted(report, "stable", 3)).select("severity", "feature", "psi")

@@ -157,6 +157,20 @@ def normalize_csv(spark, sf_dir):
     return _summary(normalize(readers.read_headered_csv(spark, path), CONFIG))
 
 
+@query("normalize_lineage", """
+SELECT 'Raw' AS dataset_source, 'Lab' AS environment_type, 'flag=' || l_returnflag AS folder, count(*) AS rows,
+  CAST(sum(l_linenumber - 1) AS DOUBLE) AS packets
+FROM lineitem GROUP BY l_returnflag""")
+def normalize_lineage(spark, sf_dir):
+    """Which source, environment and file every row of a folder of CSV files comes from."""
+    path = scratch_path(spark, "lineage-csv")
+    raw = raw_source(spark, sf_dir)
+    raw.withColumn("flag", F.col("unrelated")).write.partitionBy("flag").option("header", True).option("nullValue", "NA").csv(path)
+    rows = normalize(readers.read_headered_csv(spark, path), CONFIG, readers.relative_file(path))
+    return rows.groupBy("dataset_source", "environment_type", F.substring_index("source_file", "/", 1).alias("folder")).agg(
+        F.count("*").alias("rows"), F.sum("total_packets_fwd").alias("packets"))
+
+
 @query("normalize_kdd", f"""
 WITH raw AS (SELECT CAST(l_quantity AS INTEGER) AS d, l_returnflag AS p, l_partkey % 97 AS sb, l_suppkey AS db,
   {_pick_sql(RAW_LABELS, 'l_partkey')} AS a0 FROM lineitem),

@@ -40,7 +40,8 @@ class Candidate:
     tolerance: float = 0.001
 
 
-# Depths stand for the leaf limits 63, 63 and 127 of a leaf-wise booster.
+# Names and settings of the published candidates. Depths stand for the leaf limits 63, 63
+# and 127 of a leaf-wise booster.
 CANDIDATES = (
     Candidate("regularized_balanced"),
     Candidate("plain_probability", balanced=False),
