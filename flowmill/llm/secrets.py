@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from flowmill.llm.common import digest
+from flowmill.session import cut_lineage
 
 # The patterns every scan reports, in the order that breaks ties, and their least lengths.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -157,16 +158,20 @@ def scan(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     text cost time in proportion to their length; texts without a candidate pass one pattern only.
 
     Null texts count as empty and have no spans. Rows of equal doc_id and text share their spans;
-    each gets a row. A null doc_id is an id like any other. Other columns are not read.
+    each gets a row. A null doc_id is an id like any other. Tokens whose chances tie fall into one step and are found or
+    not together. Other columns are not read; an empty table gives an empty one.
     """
     source = docs.select(F.col("doc_id").alias("id"), digest(F.coalesce("text", F.lit(""))).alias("text_id"),
                          F.coalesce("text", F.lit("")).alias("text"))
-    likely = source.where(F.col("text").rlike(ANY)).dropDuplicates(["id", "text_id"])
+    # Read by every pattern: the one scan of all texts is not repeated.
+    likely = cut_lineage(source.where(F.col("text").rlike(ANY)).dropDuplicates(["id", "text_id"]))
     base = (_spans(likely, ASSIGN, "assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_ASSIGN)
             .unionByName(_spans(likely, ACCESS, "access", lambda m: F.length(m) >= MIN_ACCESS))
             .unionByName(_spans(likely, HEX, "hex", lambda m: F.length(m) >= MIN_HEX)))
     tokens = _spans(likely, CANDIDATE, "random", lambda m: F.length(m) >= 20)
-    random = discoveries(randomness_tests(tokens), rate).select("id", "text_id", "kind", "start", "stop", "match")
+    # The tests cost more than their few bytes suggest, so tokens are dealt by number, and results are used twice.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    random = discoveries(cut_lineage(randomness_tests(tokens.repartition(tasks))), rate).select("id", "text_id", "kind", "start", "stop", "match")
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct(F.col("start"), number.alias("kind_no"), "kind", F.col("stop"))
     spans = (base.unionByName(random).groupBy(F.col("id").alias("of_id"), F.col("text_id").alias("of_text"))
