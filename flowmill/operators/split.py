@@ -20,14 +20,17 @@ from flowmill.session import cut_lineage
 # Copies of one row that are numbered by one task.
 COPIES = 100_000
 # Digits of a key's digest and a row's behind it that slices may go into.
-KEYED_DIGITS = 63
+KEYED_DIGITS = 46
 
 
 def _digest(df: DataFrame, seed: int, key: Column | None) -> Column:
     """Digest of the row, or of a key column and then of the row; equal ones are copies."""
     if key is None:
         return row_digest(df.columns, seed)
-    return F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), row_digest(df.columns, seed))
+    # Behind the key 64 bits of the row, nulls marked: they part rows that share a key.
+    cells = [F.col(f"`{c}`") if "map<" not in kind else F.col(f"`{c}`").cast("string") for c, kind in df.dtypes]
+    row = F.lpad(F.lower(F.hex(F.xxhash64(*cells, *[c.isNull() for c in cells]))), 16, "0")
+    return F.concat(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), row)
 
 
 def _numbered(copies: DataFrame) -> DataFrame:
