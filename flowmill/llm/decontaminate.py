@@ -38,9 +38,11 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, per
 
     The search side: items are partitioned by size. A document that holds `percent` % of an item's q
     shingles misses at most m = q - ceil(q * percent / 100), so it holds at least one of the item's
-    m + 1 smallest hashes, its bottom MinHash signature: no match is lost. Each size class has its
-    own signature length and largest hash; documents explode only hashes that are small enough for
-    a class. The check: shingles of candidate documents are compared as texts, not hashes.
+    m + 1 smallest hashes, its bottom MinHash signature: no match is lost. Each size class (powers of
+    two) is searched by itself: a document sends it only hashes up to the largest of the class's signatures,
+    and nothing when it has too few shingles to hold `percent` % of the class's smallest item. Few hashes
+    pass for classes of long items; a class of items with up to four shingles has nearly any hash for its
+    largest. The check: shingles of candidate documents are compared as texts, not hashes.
 
     Null or blank texts and items match nothing. Rows are judged one by one and reported by
     id: for rows of equal doc_id, or items of equal item_id, the largest count is given. Null ids are
@@ -67,17 +69,28 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, per
     item_sets = item_words.select("item", runs(_text, True).alias("shingles"))
     hashed = item_words.select("item", F.array_sort(runs(_hash, True)).alias("hashes"))
     missing = F.size("hashes") - F.ceil(F.size("hashes") * percent / F.lit(100)).cast("int")
-    signatures = hashed.select("item", F.floor(F.log2(F.size("hashes"))).alias("size_class"),
+    n_hashes = F.size("hashes").cast("int")
+    signatures = hashed.select("item", F.floor(F.log2(n_hashes)).cast("int").alias("size_class"), n_hashes.alias("n_hashes"),
                                F.explode(F.slice("hashes", F.lit(1), missing + 1)).alias("hash"))
-    classes = signatures.groupBy("size_class").agg(F.max("hash").alias("top"), F.count("*").alias("n")).collect()
-    top, n_signature = max(r["top"] for r in classes), sum(r["n"] for r in classes)  # one row a size class
+    classes = signatures.groupBy("size_class").agg(  # one row a size class: at most 31
+        F.max("hash").alias("top"), F.min("n_hashes").alias("least"), F.count("*").alias("n")).collect()
+    n_signature = sum(r["n"] for r in classes)
     n_shingles = item_sets.agg(F.sum(F.size("shingles"))).first()[0]
 
     texts = docs.select("doc_id", digest(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
     doc_words = computed(texts, "words", words(F.col("text"))).drop("text")
-    small = doc_words.select("doc_id", "text_id", F.filter(runs(_hash), lambda h: h <= F.lit(top)).alias("hashes"))
-    candidates = (small.select("doc_id", "text_id", F.explode_outer("hashes").alias("hash"))
-                  .join(_small(signatures.select("hash", "item"), n_signature), "hash")
+    doc_hashes = computed(doc_words, "hashes", runs(_hash)).drop("words")
+
+    def probes(r) -> Column:
+        """A document's hashes that a size class may hold; none when it is too short for the class."""
+        small = F.filter("hashes", lambda h: h <= F.lit(r["top"]))
+        enough = F.size("hashes") * 100 >= F.lit(r["least"] * percent)
+        found = F.transform(small, lambda h: F.struct(F.lit(r["size_class"]).alias("size_class"), h.alias("hash")))
+        return F.coalesce(F.when(enough, found), F.array().cast("array<struct<size_class:int,hash:bigint>>"))
+
+    probed = doc_hashes.select("doc_id", "text_id", F.explode(F.concat(*[probes(r) for r in classes])).alias("probe"))
+    candidates = (probed.select("doc_id", "text_id", "probe.size_class", "probe.hash")
+                  .join(_small(signatures.select("size_class", "hash", "item"), n_signature), ["size_class", "hash"])
                   .groupBy(F.col("doc_id").alias("of_doc"), F.col("text_id").alias("of_text"))
                   .agg(F.collect_set("item").alias("items")))
     held = texts.join(candidates, F.col("doc_id").eqNullSafe(F.col("of_doc"))
