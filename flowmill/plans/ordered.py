@@ -223,30 +223,32 @@ def _rank_holder(counts: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
-def dense_index(
-    df: DataFrame, key: str, digest: str, sizes: DataFrame, rows_per_slice: int = MAX_RANKED_ROWS
-) -> DataFrame:
-    """Add `idx`, the 0-based rank by digest within key.
+def rows_at(df: DataFrame, key: str, digest: str, sizes: DataFrame, wanted: DataFrame,
+            rows_per_slice: int = 4_096) -> DataFrame:
+    """`wanted` (key, idx, ...) with the row of `df` that has the 0-based rank idx by digest within key.
 
-    `sizes` holds (key, n).  A key is cut into n / rows_per_slice digest ranges, each
-    sorted by its own task; digests are uniform, so no slice is hot.
+    Rows of one key and digest are equal.  `sizes` holds (key, n).  A directory holds how many rows lie in each
+    digest slice of a key; only digests of slices that hold a wanted rank are sorted, and only rows of wanted
+    digests move whole.  Ranks outside a key have no row.
     """
-    sizes = sizes.select(key, F.ceil(F.col("n") / rows_per_slice).alias("_slices"))
+    slices = broadcast_checked(sizes.select(key, F.ceil(F.col("n") / rows_per_slice).alias("_slices")))
     share = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
-    sliced = df.join(broadcast_checked(sizes), key).withColumn(
-        "_slice", F.floor(share * F.col("_slices"))
-    ).drop("_slices")
-    counts = sliced.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
-    earlier = (
-        Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = counts.select(
-        key, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
+    narrow = df.select(key, digest).join(slices, key).select(
+        key, digest, F.floor(share * F.col("_slices")).alias("_slice"))
+    upto = F.sum("_n").over(Window.partitionBy(key).orderBy("_slice"))
+    directory = narrow.groupBy(key, "_slice").agg(F.count("*").alias("_n")).select(
+        key, "_slice", (upto - F.col("_n")).alias("_from"), upto.alias("_to"))
+    # A slice is listed under each stretch of ranks it overlaps: an equal join finds it.
+    stretch = lambda rank: F.floor(rank / rows_per_slice)
+    listed = directory.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_from")), stretch(F.col("_to") - 1))))
+    asked = wanted.select(key, "idx").distinct().withColumn("_stretch", stretch(F.col("idx")))
+    inside = (F.col("idx") >= F.col("_from")) & (F.col("idx") < F.col("_to"))
+    placed = settle(asked.join(broadcast_checked(listed), [key, "_stretch"]).filter(inside).select(
+        key, "idx", "_slice", (F.col("idx") - F.col("_from")).alias("_rank")))
+    opened = narrow.join(broadcast_checked(placed.select(key, "_slice").distinct()), [key, "_slice"], "left_semi")
     rank = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(digest)) - 1
-    return (
-        sliced.withColumn("_rank", rank)
-        .join(broadcast_checked(offsets), [key, "_slice"])
-        .withColumn("idx", (F.col("_rank") + F.col("_offset")).cast("long"))
-        .drop("_slice", "_rank", "_offset")
-    )
+    found = settle(opened.withColumn("_rank", rank.cast("long")).join(placed, [key, "_slice", "_rank"]).select(
+        key, "idx", digest))
+    moved = df.join(broadcast_checked(found.select(key, digest).distinct()), [key, digest], "left_semi")
+    return (wanted.join(found, [key, "idx"])
+            .join(moved.dropDuplicates([key, digest]), [key, digest]).drop(digest))

@@ -6,6 +6,7 @@ import flowmill.plans.ordered as ordered
 from flowmill.functions.hashing import digest
 from flowmill.operators.quality import dedup, missing_profile
 from flowmill.operators.split import quotas, sample_rows, split_counts, stratified_split
+from flowmill.plans import small
 from flowmill.plans.small import settle
 
 
@@ -58,14 +59,21 @@ def test_hash_cuts(spark, monkeypatch, ranked):
     assert below == {0: 0, 1: 333, 2: 1000}
 
 
-@pytest.mark.parametrize("per_slice", [100_000, 37])
-def test_dense_index(spark, per_slice):
-    df = spark.range(1000).select(F.when(F.col("id") < 700, "a").otherwise("b").alias("g"), digest(F.col("id")).alias("h"))
+@pytest.mark.parametrize("per_slice,bound", [(4_096, 100_000), (37, 100_000), (5, 3)])
+def test_rows_at(spark, monkeypatch, per_slice, bound):
+    # The last case shuffles where the others broadcast.
+    monkeypatch.setattr(small.broadcast_checked, "__defaults__", (bound,))
+    monkeypatch.setattr(small.settle, "__defaults__", (bound,))
+    once = spark.range(1000).select(F.when(F.col("id") < 700, "a").otherwise("b").alias("g"),
+                                    (F.col("id") - F.col("id") % 10).alias("v"))
+    df = once.withColumn("h", digest(F.col("v")))  # ten copies of each row
     sizes = df.groupBy("g").agg(F.count("*").alias("n"))
-    out = ordered.dense_index(df, "g", "h", sizes, per_slice).collect()
-    for g, n in (("a", 700), ("b", 300)):
-        own = sorted((r.h, r.idx) for r in out if r.g == g)
-        assert [i for _, i in own] == list(range(n))
+    draws = [("a", i % 700, i) for i in range(0, 2000, 7)] + [("b", 299, -1), ("b", 300, -2), ("c", 0, -3), ("a", 5, -4)]
+    wanted = spark.createDataFrame(draws, "g string, idx long, id long")
+    ranked = {g: sorted((r.h, r.v) for r in df.filter(F.col("g") == g).collect()) for g in ("a", "b")}
+    want = sorted((g, i, at, ranked[g][i][1]) for g, i, at in draws if g in ranked and i < len(ranked[g]))
+    out = ordered.rows_at(df, "g", "h", sizes, wanted, per_slice)
+    assert sorted((r.g, r.idx, r.id, r.v) for r in out.collect()) == want
 
 
 def test_sample_is_exact_and_repeatable(spark):

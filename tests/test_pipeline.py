@@ -12,6 +12,7 @@ from flowmill.operators import quality as Q
 from flowmill.operators.normalize import SourceConfig
 from flowmill.schema import FLOW_COLUMNS
 from flowmill.sources import audit, files, readers, registry
+from flowmill.session import cut_lineage
 from flowmill.views import flow_view
 
 
@@ -127,8 +128,35 @@ def test_attributions_add_up(spark, fitted):
     rows = E.explain(val, model, "id").groupBy("id").agg(
         F.abs(F.sum("value") + F.max("base_value") - E.margin_of(F.max("score"))).alias("gap"))
     assert rows.count() == val.count() and rows.agg(F.max("gap")).first()[0] < 1e-6
-    drivers = E.top_drivers(E.explain(val, model, "id"), "id", overall=3, each=2)
-    assert drivers.filter("driver").groupBy("id", "side").count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_top_drivers_need_no_shuffle_and_equal_a_plain_choice(spark, fitted):
+    model, val = fitted
+    twice = val.unionByName(val.limit(3))  # rows of equal id are explained by themselves
+    chosen = E.top_drivers(twice, model, "id", overall=3, each=2)
+    assert "Exchange" not in E.top_drivers(cut_lineage(val), model, "id")._jdf.queryExecution().executedPlan().toString()
+    lines = E.explain(val, model, "id").toPandas()
+    copies = twice.groupBy("id").count().toPandas().set_index("id")["count"]
+    want = []
+    for key, row in lines.groupby("id"):
+        row = row.assign(size=-row["value"].abs()).sort_values(["size", "feature"], kind="stable")
+        seen = {}
+        for rank, (feature, value) in enumerate(zip(row["feature"], row["value"]), 1):
+            side = "attack" if value > 0 else "normal" if value < 0 else "none"
+            seen[side] = seen.get(side, 0) + 1
+            driver = side != "none" and seen[side] <= 2
+            if rank <= 3 or driver:
+                want += [(key, feature, value, side, rank, seen[side], driver)] * copies[key]
+    got = [tuple(r) for r in chosen.select("id", "feature", "value", "side", "rank", "side_rank", "driver").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_ranked_drivers_of_ties():
+    values = np.array([[0.0, 2.0, -2.0, 1.0], [0.0, 0.0, 0.0, 0.0]])
+    rows, slots, more = E.rank_drivers(values, np.array([3, 2, 1, 0]), overall=2, each=1)
+    got = list(zip(rows, slots, more["side"], more["rank"], more["side_rank"], more["driver"]))
+    assert got == [(0, 2, "normal", 1, 1, True), (0, 1, "attack", 2, 1, True), (1, 3, "none", 1, 1, False),
+                   (1, 2, "none", 2, 2, False)]
 
 
 def test_attributions_are_shapley_values():
