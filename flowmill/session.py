@@ -71,6 +71,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a written table; its target must not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.rename(path(source), path(target)):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive lost executors and are computed once."""
     shared_dir(df.sparkSession)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from flowmill.operators.normalize import SourceConfig, normalize, union_sources
+from flowmill.plans.small import broadcast_checked
 from flowmill.schema import KDD_COLUMNS
+from flowmill.session import cut_lineage
 
 _RECORD = "_record"
+# Added to capped rows: file, piece of the file, place in it, rows left to take from it.
+_FILE, _PIECE, _PLACE, _LEFT = "_row_file", "_row_piece", "_row_place", "_row_left"
 
 HEADERLESS = {
     "kdd": [*KDD_COLUMNS, "attack"],
@@ -68,23 +75,75 @@ def read_parquet(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
 
 
-def read_source(spark: SparkSession, paths: Sequence[str], cfg: SourceConfig) -> list[DataFrame]:
-    """The files of one dataset, one frame per layout: files with equal columns are one scan."""
-    groups: dict[tuple, list[str]] = {}
-    for path in paths:
-        if path.lower().endswith(".parquet"):
-            # Footers only.
-            layout = ("parquet", spark.read.parquet(path).schema.json())
-        elif cfg.format in HEADERLESS:
-            layout = (cfg.format,)
+LAYOUT_SCHEMA = "path string, layout string"
+
+
+def _layout(path: str) -> str:
+    """What a file's columns are known by: the schema in a Parquet footer, else the first line with text."""
+    from pyarrow import fs, parquet
+
+    # Listed paths read file:/folder/name; s3a names an S3 bucket.
+    place = path[5:] if path.startswith("file:/") else path.replace("s3a://", "s3://", 1)
+    files, at = fs.FileSystem.from_uri(place)
+    if path.lower().endswith(".parquet"):
+        with files.open_input_file(at) as handle:
+            return "parquet:" + str(parquet.read_schema(handle).remove_metadata())
+    with files.open_input_stream(at) as handle:
+        lines = (line.strip() for line in io.BufferedReader(handle))
+        return "csv:" + next((line for line in lines if line), b"").decode("utf-8", "replace")
+
+
+def file_layouts(files: DataFrame, cfg: SourceConfig) -> DataFrame:
+    """(path, layout) of the files in a table of paths; files of equal layout can be one scan.
+
+    One job: tasks open the files and read a footer or a first line.  Formats without header are known
+    beforehand.
+    """
+    known = F.lit(cfg.format) if cfg.format in HEADERLESS else F.lit(None).cast("string")
+    parquet = F.lower("path").endswith(".parquet")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, layouts = (batch.column(c).to_pylist() for c in ("path", "layout"))
+            found = [layout or _layout(path) for path, layout in zip(paths, layouts)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string())],
+                                             names=["path", "layout"])
+
+    # Dealt by path, so that many small files are many tasks.
+    return files.select("path", F.when(~parquet, known).alias("layout")).repartition("path").mapInArrow(
+        run, LAYOUT_SCHEMA)
+
+
+def _scan(spark: SparkSession, layout: str, paths: Sequence[str], example: str) -> DataFrame:
+    if layout in HEADERLESS:
+        return read_headerless_csv(spark, paths, HEADERLESS[layout])
+    if layout.startswith("parquet:"):
+        return spark.read.schema(spark.read.parquet(example).schema).parquet(*paths)
+    return _read_csv(spark, paths, csv_header(spark, example), True, False)
+
+
+def read_source(spark: SparkSession, files: DataFrame, cfg: SourceConfig) -> list[DataFrame]:
+    """The files of one dataset, one frame per layout.
+
+    `files` (pattern, path) comes from `matching_files`.  Where a layout is all that its patterns match, the
+    patterns are scanned; only mixed patterns need the paths of each layout by name.
+    """
+    layouts = cut_lineage(file_layouts(files.select("path").distinct(), cfg))
+    # (pattern, layout) lines; a path under two patterns is listed once, under the first.
+    owned = files.groupBy("path").agg(F.min("pattern").alias("pattern"), F.count("*").alias("patterns"))
+    groups = layouts.join(owned, "path").groupBy("layout", "pattern").agg(
+        F.min("path").alias("example"), F.max("patterns").alias("patterns")).collect()
+    scans: dict[str, tuple[str, list[str]]] = {}
+    shared = {g["pattern"] for g in groups if g["patterns"] > 1}
+    for group in sorted(groups, key=lambda g: g["example"]):
+        layout, pattern = group["layout"], group["pattern"]
+        example, paths = scans.setdefault(layout, (group["example"], []))
+        if not shared and sum(g["pattern"] == pattern for g in groups) == 1:
+            paths.append(pattern)
         else:
-            layout = ("csv", *csv_header(spark, path))
-        groups.setdefault(layout, []).append(path)
-    read = {"parquet": lambda p: read_parquet(spark, p), "csv": lambda p: read_headered_csv(spark, p)}
-    return [
-        read[layout[0]](files) if layout[0] in read
-        else read_headerless_csv(spark, files, HEADERLESS[layout[0]])
-        for layout, files in groups.items()]
+            mine = layouts.filter(F.col("layout") == layout).join(owned.filter(F.col("pattern") == pattern), "path")
+            paths += sorted(r["path"] for r in mine.select("path").collect())
+    return [_scan(spark, layout, paths, example) for layout, (example, paths) in scans.items()]
 
 
 def file_table(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
@@ -98,39 +157,72 @@ def file_table(spark: SparkSession, pattern: str, recursive: bool = False) -> Da
         return spark.createDataFrame([], "path string, length long, modificationTime timestamp")
 
 
-def discover_files(spark: SparkSession, cfg: SourceConfig, root: str = "") -> list[str]:
-    """Distinct files matching a dataset's patterns, in name order."""
+def matching_files(spark: SparkSession, cfg: SourceConfig, root: str = "") -> DataFrame:
+    """(pattern, path) of the files matching a dataset's patterns; nothing is read of them."""
     base = cfg.local_dir if not root else f"{root.rstrip('/')}/{cfg.local_dir}"
-    found = set()
-    for pattern in cfg.file_patterns:
-        found |= {r["path"] for r in file_table(spark, f"{base}/{pattern}").select("path").collect()}
-    return sorted(found)
+    out = spark.createDataFrame([], "pattern string, path string")
+    for pattern in dict.fromkeys(f"{base}/{p}" for p in cfg.file_patterns):
+        out = out.unionByName(file_table(spark, pattern).select(F.lit(pattern).alias("pattern"), "path"))
+    return out
 
 
-def relative_file(root: str) -> Column:
+def relative_file(root: str, path: Column | None = None) -> Column:
     """Path of the row's file below root."""
-    path = F.col("_metadata.file_path")
+    path = F.col("_metadata.file_path") if path is None else path
     marker = root.rstrip("/") + "/"
     at = F.instr(path, marker)
     return F.when(at > 0, F.substr(path, at + len(marker))).otherwise(path)
 
 
+def _first_of_files(df: DataFrame, rows: int) -> DataFrame:
+    """The first `rows` rows of each file of a scan, with their file and place in it.
+
+    Tasks let go of what lies beyond the first rows of their own piece of a file, so that the ranking sees at
+    most that many rows of a piece.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.file_block_start").alias(_PIECE),
+                       F.monotonically_increasing_id().alias(_PLACE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            keep = []
+            for piece in zip(batch.column(_FILE).to_pylist(), batch.column(_PIECE).to_pylist()):
+                seen[piece] += 1
+                keep.append(seen[piece] <= rows)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    order = Window.partitionBy(_FILE).orderBy(_PIECE, _PLACE)
+    return placed.mapInArrow(run, placed.schema).withColumn(_PLACE, F.row_number().over(order)).filter(
+        F.col(_PLACE) <= rows).drop(_PIECE)
+
+
 def read_dataset(spark: SparkSession, cfg: SourceConfig, root: str = "",
                  max_rows: int | None = None) -> DataFrame | None:
     """A dataset on the unified schema, or None when no file matches.
 
-    max_rows caps the dataset, spread evenly over its files; None reads everything.
+    max_rows caps the dataset: each file gives at most an even share, in name order, until the cap is
+    reached.  None and 0 read everything.
     """
-    files = discover_files(spark, cfg, root)
-    if not files:
+    files = cut_lineage(matching_files(spark, cfg, root))
+    if files.isEmpty():
         return None
-    name = relative_file(root) if root else None
+    scans = read_source(spark, files, cfg)
     if not max_rows:
-        return union_sources([normalize(raw, cfg, name) for raw in read_source(spark, files, cfg)])
-    per_file = -(-max_rows // len(files))
-    parts = [normalize(raw.limit(per_file), cfg, name)
-             for path in files for raw in read_source(spark, [path], cfg)]
-    return union_sources(parts).limit(max_rows)
+        name = relative_file(root) if root else None
+        return union_sources([normalize(raw, cfg, name) for raw in scans])
+    share = -(-max_rows // files.select("path").distinct().count())
+    heads = [cut_lineage(_first_of_files(raw, share)) for raw in scans]
+    counts = heads[0].select(_FILE)
+    for head in heads[1:]:
+        counts = counts.unionByName(head.select(_FILE))
+    # One line per file.
+    earlier = F.sum("n").over(Window.orderBy(_FILE)) - F.col("n")
+    left = counts.groupBy(_FILE).agg(F.count("*").alias("n")).select(_FILE, (F.lit(max_rows) - earlier).alias(_LEFT))
+    name = relative_file(root, F.col(_FILE)) if root else F.col(_FILE)
+    return union_sources([
+        normalize(head.join(broadcast_checked(left), _FILE).filter(F.col(_PLACE) <= F.col(_LEFT)), cfg, name)
+        for head in heads])
 
 
 def ingest(spark: SparkSession, registry: Sequence[SourceConfig], root: str = "",
