@@ -171,6 +171,27 @@ def normalize_lineage(spark, sf_dir):
         F.count("*").alias("rows"), F.sum("total_packets_fwd").alias("packets"))
 
 
+@query("ingest_layouts", """
+SELECT CASE WHEN l_linenumber = 1 THEN 'Normal' ELSE 'Botnet' END AS attack_category, l_returnflag AS folder,
+  count(*) AS rows, sum(CAST(l_quantity AS DOUBLE)) AS seconds
+FROM lineitem GROUP BY 1, 2""")
+def ingest_layouts(spark, sf_dir):
+    """A dataset of many files in three layouts under common patterns: two CSV headers and Parquet."""
+    root = scratch_path(spark, "layouts")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    word = F.when(F.col("l_linenumber") == 1, "benign").otherwise("Bot")
+    number = F.col("l_quantity").cast("double")
+    for flag, kind, names in (("A", "csv", {"Dur": number, "Label": word}), ("N", "csv", {"Label": word, "Flow Duration": number}),
+                              ("R", "parquet", {"duration": number, "label": word})):
+        part = lines.filter(F.col("l_returnflag") == flag).select(*[c.alias(n) for n, c in names.items()])
+        part.write.format(kind).option("header", True).save(f"{root}/raw/{flag}")
+    cfg = SourceConfig("raw", local_dir="raw", file_patterns=["*/*.csv", "*/*.parquet"], label_column="label",
+                       attack_column="label")
+    rows = readers.read_dataset(spark, cfg, root)
+    return rows.groupBy("attack_category", F.split("source_file", "/")[1].alias("folder")).agg(
+        F.count("*").alias("rows"), F.sum("duration").alias("seconds"))
+
+
 @query("normalize_kdd", f"""
 WITH raw AS (SELECT CAST(l_quantity AS INTEGER) AS d, l_returnflag AS p, l_partkey % 97 AS sb, l_suppkey AS db,
   {_pick_sql(RAW_LABELS, 'l_partkey')} AS a0 FROM lineitem),
