@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024
+# Files up to this size are held whole by the task that hashes them, larger ones go by in pieces.
+WHOLE_BYTES = 32 * 1024 * 1024
+PIECE_BYTES = 16 * 1024
+# Names that line readers decompress, and the mark that they skip at the start of a file.
+COMPRESSED = r"(?i)\.(gz|bz2|lz4|snappy|deflate|zst)$"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 # Leading bytes of archive, executable and image files, in hex.
 BINARY_SIGNATURES = ["504B", "1F8B", "4D5A", "89504E47", "FFD8FF"]
@@ -42,10 +53,98 @@ def required_files(spark: SparkSession, files: DataFrame, wanted: list[tuple[str
         "name", "required", "ok", status.alias("status"), "size_bytes")
 
 
-def digests(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, sha256) of whole files, each hashed by the task that reads it."""
-    return spark.read.format("binaryFile").load(pattern).select(
-        "path", F.sha2("content", 256).alias("sha256"))
+def digests(spark: SparkSession, pattern: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, sha256) of whole files.
+
+    Files of up to `whole_bytes` are hashed by the task that reads them. The bytes of larger ones are read in
+    parallel as lines, dealt by file and hashed in order, so that no task holds a file; a digest is made of one
+    byte after the other, so one task sees all pieces of a file. Compressed files have no lines to read and are
+    always hashed whole.
+    """
+    files = spark.read.format("binaryFile").load(pattern)
+    large = (F.col("length") > whole_bytes) & ~F.col("path").rlike(COMPRESSED)
+    small = files.filter(F.col("length") <= whole_bytes).unionByName(
+        files.filter((F.col("length") > whole_bytes) & F.col("path").rlike(COMPRESSED)))
+    out = small.select("path", F.sha2("content", 256).alias("sha256"))
+    pieces = None
+    for row in files.filter(large).select("path", "length").distinct().collect():
+        lines = spark.read.option("lineSep", "\n").text(row["path"]).select(
+            F.lit(row["path"]).alias("path"), F.lit(row["length"]).alias("length"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.concat("value", F.lit("\n")).cast("binary").alias("data"))
+        pieces = lines if pieces is None else pieces.unionByName(lines)
+    if pieces is None:
+        return out
+    dealt = pieces.mapInArrow(_pieces, PIECE_SCHEMA).repartition("path").sortWithinPartitions(
+        "path", F.col("data").isNotNull(), "block", "number")
+    return out.unionByName(dealt.mapInArrow(_hash_pieces, "path string, sha256 string"))
+
+
+# `number` counts the pieces of a block; the line without data holds the block's bytes in `size`.
+PIECE_SCHEMA = "path string, length long, block long, number long, size long, data binary"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines joined and cut into pieces, then the size of each block of a file."""
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("block", pa.int64()), ("number", pa.int64()),
+                        ("size", pa.int64()), ("data", pa.binary())])
+    counts: dict[tuple, list[int]] = {}
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        paths = batch.column("path").dictionary_encode().indices.to_numpy()
+        edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(paths) != 0)) + 1
+        for a, b in zip([0, *edges], [*edges, len(blocks)]):
+            if a == b:
+                continue
+            # Values lie one after the other in the column's buffer.
+            part = batch.column("data").slice(a, b - a)
+            part = pa.concat_arrays([part])
+            ends = np.frombuffer(part.buffers()[1], np.int32, len(part) + 1, part.offset * 4)
+            data = memoryview(part.buffers()[2])[int(ends[0]):int(ends[-1])]
+            cuts = [bytes(data[i:i + PIECE_BYTES]) for i in range(0, len(data), PIECE_BYTES)]
+            key = (batch.column("path")[a].as_py(), batch.column("length")[a].as_py(), int(blocks[a]))
+            count = counts.setdefault(key, [0, 0])
+            n = len(cuts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array([key[2]] * n, pa.int64()),
+                 pa.array(range(count[0], count[0] + n), pa.int64()), pa.nulls(n, pa.int64()), pa.array(cuts, pa.binary())],
+                schema=schema)
+            count[0], count[1] = count[0] + n, count[1] + len(data)
+    rows = [{"path": p, "length": w, "block": k, "number": -1, "size": size} for (p, w, k), (_, size) in counts.items()]
+    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _hash_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of files whose pieces come in order, after the sizes of their blocks."""
+    names = ["path", "sha256"]
+    now, length, total, sha, last = None, 0, 0, None, b""
+
+    def done():
+        nonlocal sha
+        sha = hashlib.sha256() if sha is None else sha
+        # Every line got a line feed; the last of a file may have none.
+        extra = total - length + (len(BYTE_ORDER_MARK) if total < length else 0)
+        if extra not in (0, 1):
+            raise ValueError(f"{now}: {total} bytes in lines, {length} in the file")
+        sha.update(last if not extra else last[:-1])
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([sha.hexdigest()])], names=names)
+
+    for batch in batches:
+        for path, size, whole, data in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist(),
+                                           batch.column("length").to_pylist(), batch.column("data")):
+            if path != now:
+                if now is not None:
+                    yield done()
+                now, length, total, sha, last = path, whole, 0, None, b""
+            if size is not None:
+                total += size
+                continue
+            if sha is None:
+                sha = hashlib.sha256(BYTE_ORDER_MARK if total < length else b"")
+            sha.update(last)
+            last = data.as_py()
+    if now is not None:
+        yield done()
 
 
 def verify_digests(actual: DataFrame, expected: DataFrame) -> DataFrame:
