@@ -168,13 +168,19 @@ def looks_binary(content: Column) -> Column:
 
 
 def text_gate(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, length, accepted, reason) for uploaded files: CSV name, size, text, rows."""
-    files = spark.read.format("binaryFile").load(pattern)
+    """(path, length, accepted, reason) for uploaded files: CSV name, size, text, rows.
+
+    Only files with a CSV name and a size that may pass are opened.
+    """
+    refused = (F.when(~F.lower("path").endswith(".csv"), "not a csv file")
+               .when(F.col("length") > MAX_UPLOAD_BYTES, "too large"))
+    # Contents are not among the columns here.
+    listed = spark.read.format("binaryFile").load(pattern).select("path", "length", refused.alias("reason")).filter(
+        F.col("reason").isNotNull())
+    # The reader itself turns names and lengths away.
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[cC][sS][vV]").load(pattern).filter(
+        F.col("length") <= MAX_UPLOAD_BYTES)
     lines = F.regexp_count(F.col("content").cast("string"), F.lit(r"(?m)^.*\S.*$"))
-    reason = (
-        F.when(~F.lower("path").endswith(".csv"), "not a csv file")
-        .when(F.col("length") > MAX_UPLOAD_BYTES, "too large")
-        .when(looks_binary(F.col("content")), "binary content")
-        .when(lines < 2, "no rows"))
-    return files.select("path", "length", reason.alias("reason")).select(
-        "path", "length", F.col("reason").isNull().alias("accepted"), "reason")
+    reason = F.when(looks_binary(F.col("content")), "binary content").when(lines < 2, "no rows")
+    opened = files.select("path", "length", reason.alias("reason"))
+    return listed.unionByName(opened).select("path", "length", F.col("reason").isNull().alias("accepted"), "reason")

@@ -28,3 +28,16 @@ def test_large_files_are_hashed_in_pieces(spark, tmp_path):
             assert {os.path.basename(r["path"]): r["sha256"] for r in rows} == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
+def test_refused_files_are_not_opened(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "B.CSV").write_text("x\n\n \n")
+    for name in ("c.parquet", "d.csv"):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(3 << 30 if name == "c.parquet" else files.MAX_UPLOAD_BYTES + 1)  # more than a cell can hold
+    (tmp_path / "e.csv").write_bytes(b"PK\x03\x04\n\n")
+    got = {os.path.basename(r["path"]): (r["accepted"], r["reason"])
+           for r in files.text_gate(spark, f"{tmp_path}/*").collect()}
+    assert got == {"a.csv": (True, None), "B.CSV": (False, "no rows"), "c.parquet": (False, "not a csv file"),
+                   "d.csv": (False, "too large"), "e.csv": (False, "binary content")}
