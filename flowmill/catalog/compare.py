@@ -8,6 +8,7 @@ from flowmill.catalog import query
 from flowmill.operators import compare as C
 from flowmill.operators import drift as D
 from flowmill.plans.small import settle
+from flowmill.session import stored
 from flowmill.views import flow_sql, flow_view
 
 FEATURES = ["duration", "src_bytes", "dst_bytes", "total_packets_fwd", "packet_length_mean", "idle_mean"]
@@ -44,7 +45,7 @@ ks AS (SELECT feature, CAST(max(n_a) AS BIGINT) AS n_a, CAST(max(n_b) AS BIGINT)
 
 
 def _pair(spark, sf_dir):
-    flow = flow_view(spark, sf_dir)
+    flow = stored(flow_view(spark, sf_dir).select("label", *FEATURES, "active_mean"))
     return flow.filter("label = 0"), flow.filter("label = 1").withColumns(
         {"duration": F.col("duration") * 1.25, "src_bytes": F.col("src_bytes") + 5000})
 
