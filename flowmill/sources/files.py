@@ -62,12 +62,18 @@ def digests(spark: SparkSession, pattern: str, whole_bytes: int = WHOLE_BYTES) -
     always hashed whole.
     """
     files = spark.read.format("binaryFile").load(pattern)
-    large = (F.col("length") > whole_bytes) & ~F.col("path").rlike(COMPRESSED)
-    small = files.filter(F.col("length") <= whole_bytes).unionByName(
-        files.filter((F.col("length") > whole_bytes) & F.col("path").rlike(COMPRESSED)))
-    out = small.select("path", F.sha2("content", 256).alias("sha256"))
+    whole = files.filter(F.col("length") <= whole_bytes)
+    large = files.filter(F.col("length") > whole_bytes).select(
+        "path", "length", F.col("path").rlike(COMPRESSED).alias("packed")).distinct().collect()
+    packed = [row["path"] for row in large if row["packed"]]
+    if packed:
+        # Named one by one: the reader turns files away by length, not by name, and opens all others.
+        whole = whole.unionByName(spark.read.format("binaryFile").load(packed))
+    out = whole.select("path", F.sha2("content", 256).alias("sha256"))
     pieces = None
-    for row in files.filter(large).select("path", "length").distinct().collect():
+    for row in large:
+        if row["packed"]:
+            continue
         lines = spark.read.option("lineSep", "\n").text(row["path"]).select(
             F.lit(row["path"]).alias("path"), F.lit(row["length"]).alias("length"),
             F.col("_metadata.file_block_start").alias("block"),

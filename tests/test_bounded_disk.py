@@ -49,3 +49,19 @@ def test_lines_move_once_less_where_orders_are_shuffled(spark, sf):
         assert _rows(views.flow_view(spark, sf, extra=True)) == rows
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("name", ["lines.bin", "lines.bin.gz"])
+def test_files_larger_than_a_cell_are_not_opened_whole(spark, tmp_path, name):
+    import gzip
+
+    data = np.random.default_rng(1).bytes(200_000)
+    packed = gzip.compress(data) if name.endswith("gz") else data
+    (tmp_path / name).write_bytes(packed)
+    (tmp_path / "other.bin").write_bytes(data)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", len(packed) - 1 if name == "lines.bin" else len(packed))
+    try:
+        got = {os.path.basename(r["path"]): r["sha256"] for r in files.digests(spark, f"{tmp_path}/*", 1_000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {name: hashlib.sha256(packed).hexdigest(), "other.bin": hashlib.sha256(data).hexdigest()}
