@@ -51,6 +51,36 @@ def test_lines_move_once_less_where_orders_are_shuffled(spark, sf):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def _copied(spark):
+    return spark.createDataFrame(
+        [(("a", None, "b")[i % 3], i % 2 if i % 7 else None, "n" + str(i % 4), (0.0, -0.0, float("nan"), None)[i % 4])
+         for i in range(100)] * 2, "dataset_source string, label int, attack_category string, x double")
+
+
+def test_quality_report_of_portions(spark, monkeypatch):
+    df = _copied(spark)
+    whole = _rows(Q.quality_report(df, Q.dedup(df)))
+    monkeypatch.setattr(Q, "PORTION_ROWS", 30)
+    parts = Q.dedup_portions(df)
+    assert len(parts) == 7 and sum(p.count() for p in parts) == Q.dedup(df).count()
+    assert _rows(Q.quality_report(df, parts)) == whole
+    assert len(Q.dedup_portions(df.withColumn("l", F.array("x")))) == 1
+    want = {("dataset_source", "Unknown"), ("label", "Unknown"), ("missing", "x"), ("rows", "after_dedup")}
+    assert want <= {(r["section"], r["key"]) for r in Q.quality_report(df, parts).collect()}
+
+
+def test_membership_in_portions(spark, monkeypatch):
+    real = _copied(spark)
+    made = real.limit(60).unionByName(real.limit(40).withColumn("label", F.lit(5)))
+    hit, new = _rows(Q.exact_matches(made, real)), _rows(Q.novel_rows(made, real))
+    monkeypatch.setattr(Q, "MAX_SHARED_FINGERPRINTS", 0)
+    monkeypatch.setattr(Q, "PORTION_ROWS", 50)
+    found = Q.exact_matches(made, real)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert _rows(found) == hit and len(hit) == 60
+    assert _rows(Q.novel_rows(made, real)) == new and len(new) == 40
+
+
 @pytest.mark.parametrize("name", ["lines.bin", "lines.bin.gz"])
 def test_files_larger_than_a_cell_are_not_opened_whole(spark, tmp_path, name):
     import gzip
