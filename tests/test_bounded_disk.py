@@ -95,3 +95,38 @@ def test_files_larger_than_a_cell_are_not_opened_whole(spark, tmp_path, name):
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
     assert got == {name: hashlib.sha256(packed).hexdigest(), "other.bin": hashlib.sha256(data).hexdigest()}
+
+
+def test_nearest_within_a_limit():
+    noise = np.random.default_rng(5)
+    rows, points = noise.normal(size=(40, 3)), noise.normal(size=(300, 3))
+    counts = noise.integers(1, 3, 300)
+    two = neighbours.two_nearest(rows, points, counts)
+    for limit in (two[:, 1] * 1.5, two[:, 1], two[:, 0] * 0.5, np.where(np.arange(40) % 2, np.inf, two[:, 1])):
+        got = neighbours.two_nearest(rows, points, counts, limit)
+        below = two < limit[:, None]
+        assert (got[below] == two[below]).all() and (got >= two).all()
+    assert np.isinf(neighbours.two_nearest(rows, points, counts, np.zeros(40))).all()
+
+
+def test_few_queries_in_many_cells_are_one_group(spark, monkeypatch):
+    sides, real = [], neighbours.tile_side
+    monkeypatch.setattr(neighbours, "tile_side", lambda *a: sides.append(a) or real(*a))
+    noise = np.random.default_rng(6)
+    table = lambda n: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(noise.normal(size=(n, 4)))], "id int, v array<double>")
+    query, base = table(200), table(2_000)
+    got = {r["id"]: (r["d1"], r["d2"]) for r in neighbours.nearest_two(query, base).collect()}
+    points = np.array([r["v"] for r in base.collect()])
+    for r in query.collect():
+        d = np.sort(np.sqrt(((points - r["v"]) ** 2).sum(1)))
+        assert math.isclose(got[r["id"]][0], d[0]) and math.isclose(got[r["id"]][1], d[1])
+    assert sides[0][:2] == (1, 1)
+
+
+def test_stored_rows_are_not_stored_again(spark, sf, monkeypatch):
+    written, real = [], generate._real(spark, sf)
+    monkeypatch.setattr(G, "stored", lambda df: written.append(df) or stored(df))
+    ready = G.prepare_real(real, "row_key")[0]
+    assert not written and ready.count() == real.count()
+    G.prepare_real(real.drop("row_key"))
+    assert len(written) == 1
