@@ -130,3 +130,33 @@ def test_stored_rows_are_not_stored_again(spark, sf, monkeypatch):
     assert not written and ready.count() == real.count()
     G.prepare_real(real.drop("row_key"))
     assert len(written) == 1
+
+
+def test_digests_of_a_split_are_deleted(spark, sf, monkeypatch):
+    gone = []
+    monkeypatch.setattr(S, "release", lambda df: gone.append(is_stored(df)) or release(df))
+    df = views.flow_view(spark, sf, extra=True).select("attack_category", "label", "row_key")
+    assert S.stratified_split(df, key=F.col("row_key")).count() == df.count() and gone == [True]
+
+
+def test_large_splits_and_vectors_are_columns(spark, sf, monkeypatch):
+    monkeypatch.setattr(models, "_PARTS", {})
+    monkeypatch.setattr(L, "LAID_OUT_ROWS", 1_000)
+    train, val, test = models._parts(spark, sf)
+    assert all("parquet" in df._jdf.queryExecution().optimizedPlan().toString() for df in (train, val, test))
+    kept = []
+    monkeypatch.setattr(L, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    model = L.fit_best(train.drop("row_key"), val, [models.SMALL[0]])
+    assert len(kept) == 2 and model.train_rows == train.count()
+    with pytest.raises(Exception):  # noqa: B017
+        kept[0].count()
+
+
+def test_reports_on_parts_fit_no_model_they_do_not_read(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models, "_fitted", lambda *a: asked.append(a))
+    monkeypatch.setattr(L, "utility_protocols", lambda *a, **k: a[0])
+    monkeypatch.setattr(L, "evaluation_report", lambda *a, **k: a[0])
+    models.utility_protocols(spark, sf)
+    models.evaluation_report(spark, sf)
+    assert not asked
